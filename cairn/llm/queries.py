@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytecnn, covertree, crosspoly, linededup, poisson_mix, ring, simhash
+from . import bpe, bytecnn, covertree, crosspoly, language, linededup, poisson_mix, ring, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules of op2 in the order given.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule that fits each page's url, or the default ``allow``."""
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document from its text, its declared language and its source's prior; ``kept`` is false for rejected ones."""
+    return language.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points or more that 5 documents hold stay in the largest one only."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5, outputs=("kept_sha256",))
@@ -69,6 +84,8 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_url_filters": op2_url_filters,
+    "op3_language": op3_language,
     "op4_line_dedup": op4_line_dedup,
     "op5_ring_shards": op5_ring_shards,
     "op6_exact_top_k": op6_exact_top_k,
@@ -79,6 +96,16 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_url_filters": """
+WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+cut AS (
+  SELECT page_id, row_number() OVER () AS i, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, i, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (
+  SELECT p.i, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY p.i ORDER BY length(r.host || r.path) DESC) AS k
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) f USING (i)""",
     "op4_line_dedup": """
 WITH split AS (
   SELECT doc_id, pos, line, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -93,8 +120,8 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY doc_id""",
     "op6_exact_top_k": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
