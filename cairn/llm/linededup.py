@@ -1,7 +1,7 @@
 """Line deduplication against levelled sorted runs of line hashes.
 
-The index is a list of runs. A run is a table of distinct line hashes, bucketed and sorted
-by hash, with the number of documents that hold the line and, for a line that the run saw
+The index is a list of runs. A run is a table of distinct line hashes, dealt and sorted by
+hash, with the number of documents that hold the line and, for a line that the run saw
 first, the document that owns it. A new batch is reduced to its own distinct hashes,
 merge-joined with the runs (the anti part is new and gets an owner, the rest only adds to
 the counts) and written as one more run of level 0. Whenever a level has ``fan`` runs,
@@ -36,6 +36,7 @@ from ._shared import shared_dir, stored
 _TO_LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = -(2**63)
+RUN = "h1 long, h2 long, docs long, owner long"
 
 
 def line_hash(line: bytes, min_chars: int) -> bytes | None:
@@ -67,43 +68,36 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder."""
+    """Levelled sorted runs in the shared folder; a run is dealt by hash and each of its files is sorted."""
 
     def __init__(self, spark: SparkSession, fan: int = 2):
         self.spark, self.fan = spark, fan
         self.base = shared_dir(spark)
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[list[str]] = []
-        self.made: list[str] = []
 
     def _write(self, run: DataFrame, level: int) -> None:
-        name = f"cairn_run_{uuid.uuid4().hex}"
-        dealt = run.repartition(self.buckets, "h1", "h2")
-        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.base}/{name}").saveAsTable(name)
-        self.made.append(name)
+        path = f"{self.base}/{uuid.uuid4().hex}"
+        run.repartition("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
-
-    def merged(self, names: Sequence[str] | None = None) -> DataFrame:
-        """All rows of the runs with one row per hash: counts are added, the owner is the one that the first run gave."""
-        names = [n for level in self.levels for n in level] if names is None else names
-        if not names:
-            return self.spark.createDataFrame([], "h1 long, h2 long, docs long, owner long")
-        rows = self.spark.table(names[0])
-        for n in names[1:]:
-            rows = rows.union(self.spark.table(n))
-        return rows.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("owner").alias("owner"))
+        self.levels[level].append(path)
+
+    def rows(self, paths: Sequence[str] | None = None) -> DataFrame:
+        """The rows of the given runs, or of all."""
+        paths = [p for level in self.levels for p in level] if paths is None else paths
+        if not paths:
+            return self.spark.createDataFrame([], RUN)
+        return self.spark.read.schema(RUN).parquet(*paths)
+
+    def merged(self, paths: Sequence[str] | None = None) -> DataFrame:
+        """The runs as one row per hash: counts are added, the owner is the one that the first run gave."""
+        return self.rows(paths).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("owner").alias("owner"))
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of (``doc``, ``h1``, ``h2``); documents of a batch must not be in earlier ones."""
         own = batch.groupBy("h1", "h2", "doc").agg(F.lit(1)).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("first"))
-        names = [n for level in self.levels for n in level]
-        if names:
-            seen = self.spark.table(names[0]).select("h1", "h2")
-            for n in names[1:]:
-                seen = seen.union(self.spark.table(n).select("h1", "h2"))
-            seen = seen.distinct().withColumn("seen", F.lit(True))
+        if self.levels:
+            seen = self.rows().select("h1", "h2").distinct().withColumn("seen", F.lit(True))
             own = own.join(seen.hint("merge"), ["h1", "h2"], "left")
             own = own.withColumn("owner", F.when(F.col("seen").isNull(), F.col("first")))
         else:
@@ -115,11 +109,6 @@ class LineRuns:
             self._write(self.merged(old), level + 1)
             level += 1
 
-    def drop_tables(self) -> None:
-        """Forget the table names; the files stay in the shared folder until it is cleared."""
-        for name in self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
 
 def _cuts(docs: DataFrame, id_col: str, batches: int) -> list[int]:
     share = [i / batches for i in range(1, batches)]
@@ -142,7 +131,6 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
             part = part.filter(F.col("doc") <= high)
         runs.add(part)
     frequent = stored(runs.merged().filter(F.col("docs") >= min_docs).select("h1", "h2", "owner"))
-    runs.drop_tables()
     pairs = lines.join(frequent, ["h1", "h2"]).filter(F.col("doc") != F.col("owner"))
     return pairs.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 

@@ -178,7 +178,6 @@ def test_runs_are_levelled(spark):
         runs.add(spark.createDataFrame([(9 - b, h, 0) for h in range(b, b + 3)], "doc long, h1 long, h2 long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {r.h1: (r.docs, r.owner) for r in runs.merged().collect()} == {h: (sum(b <= h < b + 3 for b in range(5)), 9 - min(b for b in range(5) if b <= h < b + 3)) for h in range(7)}
-    runs.drop_tables()
 
 
 # --- 5: sharding
