@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-import xxhash
+from tests_llm_hand import components_by_hand, dedup_by_hand, fingerprint_by_hand
 
 from cairn.llm import bpe, bytecnn, covertree, crosspoly, language, linededup, poisson_mix, queries, ring, simhash, url_rules
 
@@ -143,20 +143,6 @@ def test_language_evidence(spark, sf_dir):
 # --- 4: line dedup
 
 
-def dedup_by_hand(rows, least=40, most=5):
-    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\v\f\r"))
-    holders = defaultdict(set)
-    for i, t in rows:
-        for x in (t or "").split("\n"):
-            holders[key(x)].add(i)
-    out = []
-    for i, t in rows:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if len(key(x)) < least or len(holders[key(x)]) < most or i == max(holders[key(x)])]
-        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    return Counter(out)
-
-
 def test_line_dedup_cases(spark):
     line = "This Is a Line of More than forty code points, ok"
     other = "é" * 40
@@ -295,33 +281,6 @@ def test_mix_inverts_poisson(spark):
 # --- 8: SimHash
 
 
-def fingerprint_by_hand(text):
-    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
-    if not words:
-        return 0
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def components_by_hand(rows, budget=4):
-    distinct = sorted({f for _, f in rows})
-    up = {f: f for f in distinct}
-
-    def root(f):
-        while up[f] != f:
-            f = up[f]
-        return f
-
-    array = np.array(distinct, np.uint64)
-    for i, f in enumerate(distinct):
-        for j in np.flatnonzero(np.bitwise_count(array[i + 1 :] ^ array[i]) <= budget):
-            up[root(distinct[i + 1 + j])] = root(f)
-    least = {}
-    for i, f in rows:
-        least[root(f)] = min(i, least.get(root(f), i))
-    return {(i, f): least[root(f)] for i, f in rows}
-
-
 def test_simhash_of_documents(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in read(spark, sf_dir, "documents").collect()]
     rows = [(i, fingerprint_by_hand(t)) for i, t in texts]
