@@ -33,7 +33,8 @@ from ._shared import padded, to_floats
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
 #: Rows that give every query a first bound (a constant, whatever the data).
 SEEDS = 512
-LEAF = 48
+#: Points of a leaf: enough for a matrix product to outweigh the walk.
+LEAF = 256
 
 
 @dataclass
@@ -86,14 +87,24 @@ class _Best:
         self.k = k
         self.score = np.full((queries, k), -np.inf)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
-        self.row = np.full((queries, k), -1)
 
-    def offer(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        score = np.hstack([self.score[q], scores])
-        every = np.hstack([self.id[q], np.broadcast_to(ids, scores.shape)])
-        row = np.hstack([self.row[q], np.broadcast_to(rows, scores.shape)])
-        top = np.lexsort((every, -score), axis=1)[:, : self.k]
-        self.score[q], self.id[q], self.row[q] = (np.take_along_axis(x, top, 1) for x in (score, every, row))
+    def offer(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray, floor: np.ndarray) -> None:
+        """Take what reaches a query's kth score (equal scores too: their id may win)."""
+        least = np.maximum(self.score[q, -1], floor[q])
+        at, point = np.nonzero(scores >= least[:, None])
+        if not len(at):
+            return
+        mine = np.unique(at)
+        old = q[mine]
+        who = np.concatenate([np.repeat(old, self.k), q[at]])
+        score = np.concatenate([self.score[old].ravel(), scores[at, point]])
+        every = np.concatenate([self.id[old].ravel(), ids[point]])
+        order = np.lexsort((every, -score, who))
+        who, score, every = who[order], score[order], every[order]
+        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+        top = place < self.k
+        self.score[who[top], place[top]], self.id[who[top], place[top]] = score[top], every[top]
 
 
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> _Best:
@@ -137,7 +148,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
         if not a.children and not b.children:
             scores = queries[a.rows] @ points[b.rows].T
             scores = np.where(query_ids[a.rows][:, None] == ids[b.rows][None, :], -np.inf, scores)
-            best.offer(a.rows, scores, ids[b.rows], b.rows)
+            best.offer(a.rows, scores, ids[b.rows], floor)
             node = a
             while node is not None:
                 was = node.worst
