@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -130,3 +130,18 @@ def with_parts(df: DataFrame, hot: DataFrame | None, keys: Sequence[str], most:
         return df.withColumn("parts", F.lit(1))
     small = F.broadcast(hot) if hot.count() <= most else hot
     return df.join(small, list(keys), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def least_hashed(df: DataFrame, by: str, sizes: dict, most: int, id_col: str = "id") -> DataFrame:
+    """The ``most`` rows of each class with the least hashes of their ids; ``sizes`` has the rows of each class.
+
+    Hashes are uniform, so all but about twice as many rows of a class are left out before
+    anything is moved: what is ranked is bounded whatever the size of a class.
+    """
+    share = F.lit(1.0)
+    for value, n in sizes.items():
+        share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, (2.0 * most + 100) / max(n, 1)))).otherwise(share)
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    order = Window.partitionBy(by).orderBy("__at", id_col)
+    few = df.withColumn("__at", place).filter(F.col("__at") < share)
+    return few.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= most).drop("__at", "__k")

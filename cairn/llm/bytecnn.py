@@ -25,9 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import least_hashed
+
 CHUNK, STEP = 256, 240
 WIDTH, STRIDE, EMBED, FILTERS = 8, 2, 8, 32
 HELD_OUT_OF = 5
@@ -177,9 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """Fit the network on the bounded sample that the module describes."""
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y"))
     known = known.filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    least = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("__k", F.row_number().over(least)).filter(F.col("__k") <= per_class).select("id", "y")
-    share = known.agg(F.avg("y")).first()[0]
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two numbers
+    chosen = least_hashed(known, "y", sizes, per_class).select("id", "y")
+    share = sizes.get(1, 0) / sum(sizes.values()) if sizes else None
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

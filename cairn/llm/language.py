@@ -28,10 +28,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import least_hashed, stored
 
 BITS = 15
 #: Hosts up to this number are broadcast; beyond it the join is left to Spark.
@@ -98,9 +98,8 @@ def fit_text(seen: DataFrame, per_language: int = 1000, least_share: float = 0.0
     if not languages:
         return TextModel([], np.zeros((1 << BITS, 0), np.float32))
     place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("declared")).cast("int") - 1
-    order = Window.partitionBy("declared").orderBy(F.xxhash64("id"), "id")
     ids = seen.filter(F.col("declared").isin(languages) & F.col("id").isNotNull()).select("id", "declared")
-    ids = ids.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= per_language).select("id").distinct()
+    ids = least_hashed(ids, "declared", {r["declared"]: r["count"] for r in sizes}, per_language).select("id").distinct()
     texts = seen.select("id", "text", place.alias("place")).filter("place >= 0").join(F.broadcast(ids), "id", "left_semi")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
