@@ -11,8 +11,9 @@ The text model is fitted on a bounded sample: ``per_language`` documents of each
 language, those with the least hashes of their ids. Languages are the declared ones that
 hold at least ``least_share`` of all rows.
 
-A document is rejected if its text has no trigram, if no language reaches ``confidence``,
-or if its trigrams fit no language better than an even distribution over all trigrams.
+A document is rejected if its text has no trigram of letters, if no language reaches
+``confidence``, or if its trigrams fit every language far worse than an even distribution over
+all trigrams would (random letters). Numbers, addresses and keys in a text do not count.
 
 Defined cases: null and empty texts are rejected (language ``und``); missing evidence is
 left out of the sum; null hosts share one prior; a null id is kept; repeated rows give
@@ -36,12 +37,17 @@ from ._shared import least_hashed, stored
 BITS = 15
 #: Hosts up to this number are broadcast; beyond it the join is left to Spark.
 BROADCAST_HOSTS = 50_000
-_TO_LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
+#: A-Z become a-z; digits, signs and blanks become one blank, so numbers and addresses say nothing of a language.
+_LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+#: Least mean log likelihood of a trigram, against an even distribution, of a text that is language at all.
+LEAST_FIT = -3.0
 
 
 def trigrams(data: bytes) -> np.ndarray:
-    """The hashed byte trigrams of a text with A-Z lower-cased."""
-    raw = np.frombuffer(data.translate(_TO_LOWER), np.uint8).astype(np.uint32)
+    """The hashed byte trigrams of a text's letters, words a blank apart."""
+    raw = np.frombuffer(data.translate(_LETTERS), np.uint8)
+    raw = raw[np.concatenate([[True], (raw[1:] != 0x20) | (raw[:-1] != 0x20)])] if len(raw) else raw
+    raw = raw.astype(np.uint32)
     if len(raw) < 3:
         return np.zeros(0, np.uint32)
     return (((raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
@@ -157,7 +163,7 @@ def identify(
     host: Column | None = None,
     temper: float = 0.25,
     weight: float = 20.0,
-    confidence: float = 0.6,
+    confidence: float = 0.5,
     per_language: int = 1000,
 ) -> DataFrame:
     """(``id_col``, ``language``, ``confidence``, ``text_language``, ``kept``) for every row."""
@@ -200,7 +206,7 @@ def identify(
     joined = joined.withColumn("logs", F.array(*logs)).withColumn("most", F.array_max("logs"))
     joined = joined.withColumn("sure", F.lit(1.0) / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most"))))
     array = F.array(*[F.lit(x) for x in names])
-    fits = (F.col("grams") > 0) & (F.array_max("ll") > 0)
+    fits = (F.col("grams") > 0) & (F.array_max("ll") > F.lit(LEAST_FIT) * F.col("grams"))
     kept = fits & (F.col("sure") >= confidence)
     return joined.select(
         F.col("id").alias(id_col),
