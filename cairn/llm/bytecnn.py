@@ -1,6 +1,7 @@
 """A quality classifier over raw bytes: a small convolutional network in numpy.
 
-Bytes are embedded, learned filters slide over overlapping chunks that cover the whole
+Bytes are embedded, together with a mark whether the five bytes from there on were seen
+earlier in the chunk; learned filters slide over overlapping chunks that cover the whole
 document, and each filter is max-pooled within a chunk. A document's features are the
 greatest and the mean of its chunks' pooled values; a logistic unit combines them into one
 probability.
@@ -32,12 +33,14 @@ from ._shared import least_hashed
 
 CHUNK, STEP = 256, 240
 WIDTH, STRIDE, EMBED, FILTERS = 8, 2, 8, 32
+#: Bytes that must recur for the mark of a repetition.
+GRAM = 5
 HELD_OUT_OF = 5
 
 
 @dataclass
 class Net:
-    embed: np.ndarray  # 256 x EMBED
+    embed: np.ndarray  # 512 x EMBED: bytes without and with the mark of a repetition
     filters: np.ndarray  # WIDTH*EMBED x FILTERS
     bias: np.ndarray  # FILTERS
     out: np.ndarray  # 2*FILTERS
@@ -47,7 +50,7 @@ class Net:
     def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each chunk's greatest filter values, and the windows where they are."""
         n = len(chunks)
-        x = self.embed[chunks].reshape(n, CHUNK * EMBED)
+        x = self.embed[marked(chunks)].reshape(n, CHUNK * EMBED)
         windows = np.lib.stride_tricks.sliding_window_view(x, WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED]
         y = (np.ascontiguousarray(windows).reshape(-1, WIDTH * EMBED) @ self.filters).reshape(n, -1, FILTERS)
         at = y.argmax(axis=1) if self.training else np.zeros((0, 0), np.int64)
@@ -57,6 +60,21 @@ class Net:
     training: bool = False
 
 
+def marked(chunks: np.ndarray) -> np.ndarray:
+    """Bytes as numbers below 512: over 255 where the next GRAM bytes were seen earlier in the chunk."""
+    code = np.zeros((len(chunks), CHUNK - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        code |= chunks[:, i : CHUNK - GRAM + 1 + i].astype(np.uint64) << np.uint64(8 * i)
+    # Place in the low bits: one plain sort groups equal grams in order of place.
+    code = (code << np.uint64(8)) | np.arange(code.shape[1], dtype=np.uint64)
+    code.sort(axis=1)
+    again = (code[:, 1:] >> np.uint64(8)) == (code[:, :-1] >> np.uint64(8))
+    out = chunks.astype(np.int16)
+    row, at = np.nonzero(again)
+    out[row, (code[row, at + 1] & np.uint64(255)).astype(np.int64)] += 256
+    return out
+
+
 def chunk_view(data: bytes) -> np.ndarray:
     """All chunks of one text as rows; the last one is filled with zero bytes."""
     n = max(1, -(-(len(data) - (CHUNK - STEP)) // STEP))
@@ -117,15 +135,16 @@ def scores(net: Net, texts: list[bytes]) -> np.ndarray:
 def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, epochs: int = 14, seed: int = 5) -> Net:
     """Train on the chunk rows of each text; ``share`` is the share of label 1 among all training rows."""
     if len(labels) == 0 or labels.min() == labels.max():
-        return Net(np.zeros((256, EMBED)), np.zeros((WIDTH * EMBED, FILTERS)), np.zeros(FILTERS), np.zeros(2 * FILTERS), 0.0, constant=share)
+        return Net(np.zeros((512, EMBED)), np.zeros((WIDTH * EMBED, FILTERS)), np.zeros(FILTERS), np.zeros(2 * FILTERS), 0.0, constant=share)
     rng = np.random.default_rng(seed)
     p = {
-        "embed": rng.normal(0, 0.5, (256, EMBED)).astype(np.float32),
+        "embed": np.tile(rng.normal(0, 0.5, (256, EMBED)), (2, 1)).astype(np.float32),
         "filters": rng.normal(0, 0.2, (WIDTH * EMBED, FILTERS)).astype(np.float32),
         "bias": np.zeros(FILTERS, np.float32),
         "out": rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32),
         "offset": np.zeros(1, np.float32),
     }
+    p["embed"][256:, 0] += 1.0  # both kinds start apart in one direction
     first, second, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
         rate = 0.01 * (0.5 ** (epoch / 4))
@@ -162,7 +181,7 @@ def _gradients(p: dict[str, np.ndarray], texts: list[np.ndarray], labels: np.nda
     g["bias"] = dvalue.sum(axis=0)
     # Only the window where a filter is greatest gets a gradient.
     starts = where * STRIDE
-    took = chunks[np.arange(len(chunks))[:, None, None], starts[:, :, None] + np.arange(WIDTH)]  # chunk x filter x width
+    took = marked(chunks)[np.arange(len(chunks))[:, None, None], starts[:, :, None] + np.arange(WIDTH)]  # chunk x filter x width
     inside = p["embed"][took].reshape(len(chunks), FILTERS, WIDTH * EMBED)
     g["filters"] = np.einsum("cf,cfw->wf", dvalue, inside)
     dinside = (dvalue[:, :, None] * p["filters"].T[None]).reshape(-1, EMBED)
