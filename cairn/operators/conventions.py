@@ -8,8 +8,6 @@ must not count as a number is quoted.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,49 +50,45 @@ def coordinate_ok(kind: Column, units: Column, standard: Column, axis_type: Colu
     )
 
 
-def references(variables: DataFrame, name: str, split: bool = False) -> DataFrame:
-    """(``asset_id``, ``name``, ``ref``, ``ok``): what an attribute points to, and whether that exists in the asset.
+#: Attributes that point to other variables, and the check that each belongs to.
+REFERENCES = {"coordinates": "coordinate_identification", "grid_mapping": "grid_mapping", "bounds": "bounds"}
+
+
+def references(variables: DataFrame) -> DataFrame:
+    """(``asset_id``, ``name``, ``id``, ``ref``, ``ok``): what attributes point to, and whether that exists in the asset.
 
-    A reference counts as met by its full name or by its last part. Both lookups are equality joins within the asset.
+    A reference is met by a full name or by its last part. All kinds go through the same two
+    equality joins within the asset; ``coordinates`` may hold several names.
     """
     targets = resolvable(variables).select("asset_id", F.col("ref").alias("target")).distinct().withColumn("found", F.lit(True))
-    refs = variables.select("asset_id", "name", attr(name).alias("ref")).filter("ref IS NOT NULL")
-    if split:
-        refs = refs.select("asset_id", "name", F.explode(F.split(F.trim("ref"), r"\s+")).alias("ref")).filter("ref <> ''")
+    listed = [F.when(attr(a).isNotNull(), F.struct(F.lit(c).alias("id"), F.split(F.trim(attr(a)), r"\s+") if a == "coordinates" else F.array(attr(a)))) for a, c in REFERENCES.items()]
+    refs = variables.select("asset_id", "name", F.explode(F.array_compact(F.array(*[x.cast("struct<id:string,refs:array<string>>") for x in listed]))).alias("r"))
+    refs = refs.select("asset_id", "name", "r.id", F.explode("r.refs").alias("ref")).filter("ref <> ''")
     full = refs.withColumn("target", F.col("ref")).join(targets, ["asset_id", "target"], "left").withColumnRenamed("found", "whole").drop("target")
     both = full.withColumn("target", basename(F.col("ref"))).join(targets, ["asset_id", "target"], "left")
-    return both.select("asset_id", "name", "ref", (F.col("whole").isNotNull() | F.col("found").isNotNull()).alias("ok"))
-
-
-def _summed(rows: DataFrame, check: str, what: str) -> DataFrame:
-    """A check that holds if every row (``asset_id``, ``name``, ``ok``) does."""
-    bad = F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("name"))))
-    out = rows.groupBy("asset_id").agg(F.every("ok").alias("ok"), F.count("*").alias("n"), bad.alias("bad"))
-    text = F.when(F.col("ok"), F.concat(F.col("n").cast("string"), F.lit(f" {what}"))).otherwise(F.concat(F.lit("gaps in "), F.array_join("bad", ", ")))
-    return out.select("asset_id", F.lit(check).alias("id"), "ok", text.alias("evidence"))
-
-
-def check_units_and_name(variables: DataFrame) -> DataFrame:
-    data = ~is_coordinate(F.col("name"), F.col("dims"), attr("axis"), attr("_CoordinateAxisType")) & ~is_crs_container(F.col("name")) & ~is_bounds(F.col("name"))
-    ok = attr("units").isNotNull() & (attr("standard_name").isNotNull() | attr("long_name").isNotNull())
-    return _summed(variables.filter(data).select("asset_id", "name", ok.alias("ok")), "units_and_name", "variables with units and a name")
-
-
-def check_coordinates(variables: DataFrame) -> DataFrame:
-    own = is_coordinate(F.col("name"), F.col("dims"), attr("axis"), attr("_CoordinateAxisType"))
-    kind = coordinate_kind(F.col("name"), attr("standard_name"), attr("axis"), attr("_CoordinateAxisType"))
-    ok = coordinate_ok(kind, attr("units"), attr("standard_name"), attr("_CoordinateAxisType"))
-    rows = variables.filter(own).select("asset_id", "name", ok.alias("ok")).union(references(variables, "coordinates", split=True).select("asset_id", "name", "ok"))
-    return _summed(rows, "coordinate_identification", "coordinates identified")
-
-
-def check_grid_mapping(variables: DataFrame) -> DataFrame:
-    refs = _summed(references(variables, "grid_mapping").select("asset_id", "name", "ok"), "grid_mapping", "references met")
-    held = variables.filter(is_crs_container(F.col("name"))).select("asset_id").distinct().join(refs, "asset_id", "left_anti")
-    return refs.union(held.select("asset_id", F.lit("grid_mapping").alias("id"), F.lit(True).alias("ok"), F.lit("a container by name, no reference").alias("evidence")))
-
-
-def check_fill_values(variables: DataFrame) -> DataFrame:
+    return both.select("asset_id", "name", "id", "ref", (F.col("whole").isNotNull() | F.col("found").isNotNull()).alias("ok"))
+
+
+def own_rows(variables: DataFrame) -> DataFrame:
+    """(``asset_id``, ``name``, ``id``, ``ok``): what each variable's own attributes say for each check, from one pass."""
+    name = F.col("name")
+    coordinate = is_coordinate(name, F.col("dims"), attr("axis"), attr("_CoordinateAxisType"))
+    data = ~F.col("__c") & ~is_crs_container(name) & ~is_bounds(name)
+    named = attr("units").isNotNull() & (attr("standard_name").isNotNull() | attr("long_name").isNotNull())
+    kind = coordinate_kind(name, attr("standard_name"), attr("axis"), attr("_CoordinateAxisType"))
+    known = coordinate_ok(F.col("__k"), attr("units"), attr("standard_name"), attr("_CoordinateAxisType"))
+    row = lambda test, check, ok: F.when(test, F.struct(F.lit(check).alias("id"), ok.alias("ok")))
+    rows = [
+        row(data, "units_and_name", named), row(F.col("__c"), "coordinate_identification", known),
+        row(F.coalesce(attr("_FillValue"), attr("missing_value")).isNotNull(), "fill_value_consistency", fill_ok()),
+        *[row(attr(a).isNotNull(), "scale_offset_typing", F.coalesce(attr(a).rlike(NUMBER), F.lit(False))) for a in ("scale_factor", "add_offset")],
+    ]
+    marked = variables.withColumn("__c", coordinate).withColumn("__k", kind)
+    return marked.select("asset_id", "name", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("asset_id", "name", "r.id", "r.ok")
+
+
+def fill_ok() -> Column:
+    """Whether ``_FillValue`` and ``missing_value`` agree and the value is in an integer type's range."""
     fill, missing = attr("_FillValue"), attr("missing_value")
     value = lambda c: F.when(c.rlike(NUMBER), c.try_cast("double"))
     same = F.coalesce(value(fill) == value(missing), fill == missing)
@@ -102,18 +96,36 @@ def check_fill_values(variables: DataFrame) -> DataFrame:
     low = F.create_map(*[F.lit(x) for k, (a, _) in INT_RANGES.items() for x in (k, float(a))])
     high = F.create_map(*[F.lit(x) for k, (_, b) in INT_RANGES.items() for x in (k, float(b))])
     inside = F.coalesce((value(used) >= F.try_element_at(low, F.col("dtype"))) & (value(used) <= F.try_element_at(high, F.col("dtype"))), F.lit(True))
-    ok = F.when(fill.isNotNull() & missing.isNotNull() & ~same, False).otherwise(inside)
-    return _summed(variables.filter(used.isNotNull()).select("asset_id", "name", ok.alias("ok")), "fill_value_consistency", "fill values consistent")
+    return F.when(fill.isNotNull() & missing.isNotNull() & ~same, False).otherwise(inside)
+
 
+TOLD = {
+    "units_and_name": "variables with units and a name", "coordinate_identification": "coordinates identified", "grid_mapping": "references met",
+    "fill_value_consistency": "fill values consistent", "scale_offset_typing": "numeric factors and offsets", "bounds": "bounds met",
+}
+
+
+def variable_checks(variables: DataFrame) -> DataFrame:
+    """(``asset_id``, ``id``, ``ok``, ``evidence``) of the six checks over variables, where they apply: one aggregation for all.
 
-def check_scale_offset(variables: DataFrame) -> DataFrame:
-    both = F.explode(F.array_compact(F.array(attr("scale_factor"), attr("add_offset")))).alias("value")
-    rows = variables.select("asset_id", "name", both).select("asset_id", "name", F.col("value").rlike(NUMBER).alias("ok"))
-    return _summed(rows, "scale_offset_typing", "numeric factors and offsets")
+    A check holds if each of its rows does. Without any reference to a grid mapping, a
+    container by name stands in for one.
+    """
+    held = variables.filter(is_crs_container(F.col("name"))).select("asset_id", "name", F.lit("container").alias("id"), F.lit(True).alias("ok"))
+    rows = own_rows(variables).unionByName(references(variables).drop("ref")).unionByName(held)
+    # A container is a row of its own until it is known whether the asset has references.
+    bad = F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("name"))))
+    check = F.when(F.col("id") == "container", "grid_mapping").otherwise(F.col("id"))
+    true_rows = F.col("id") != "container"
+    out = rows.groupBy("asset_id", check.alias("check")).agg(F.every("ok").alias("ok"), F.count_if(true_rows).alias("n"), bad.alias("bad"))
+    told = F.try_element_at(F.create_map(*[F.lit(x) for kv in TOLD.items() for x in kv]), F.col("check"))
+    text = F.when(~F.col("ok"), F.concat(F.lit("gaps in "), F.array_join("bad", ", "))).when(F.col("n") == 0, "a container by name, no reference").otherwise(F.concat(F.col("n").cast("string"), F.lit(" "), told))
+    return out.select("asset_id", F.col("check").alias("id"), "ok", text.alias("evidence"))
 
 
-def check_bounds(variables: DataFrame) -> DataFrame:
-    return _summed(references(variables, "bounds").select("asset_id", "name", "ok"), "bounds", "bounds met")
+def check(variables: DataFrame, cid: str) -> DataFrame:
+    """One of the six checks."""
+    return variable_checks(variables).filter(F.col("id") == cid)
 
 
 def check_conventions(assets: DataFrame) -> DataFrame:
@@ -125,8 +137,7 @@ def check_conventions(assets: DataFrame) -> DataFrame:
 
 def cf_checks(assets: DataFrame, variables: DataFrame) -> DataFrame:
     """All seven checks for every asset, in order (``pos``)."""
-    parts = [check_conventions(assets), *[f(variables) for f in (check_units_and_name, check_coordinates, check_grid_mapping, check_fill_values, check_scale_offset, check_bounds)]]
-    found = reduce(DataFrame.union, parts)
+    found = check_conventions(assets).union(variable_checks(variables))
     every = assets.select("asset_id", F.posexplode(F.array(*[F.lit(c) for c in CF_CHECKS])).alias("pos", "id"))
     return every.join(found, ["asset_id", "id"], "left").select("asset_id", "pos", "id", "ok", F.coalesce("evidence", F.lit("does not apply")).alias("evidence"))
 

@@ -51,24 +51,21 @@ def variable_facts(variables: DataFrame) -> DataFrame:
     )
 
 
-def chunk_facts(assessed: DataFrame) -> DataFrame:
-    """One row per asset from its assessed variables (``grade``, ``profiles``, ``shape``, ``chunks``)."""
+def assessed_facts(assessed: DataFrame) -> DataFrame:
+    """One row per asset from its assessed variables (``grade``, ``profiles``, ``shape``, ``chunks``, ``codec``)."""
     graded = F.when(F.col("grade") != "unknown", F.col("grade"))
     agentic = F.nullif(F.col("profiles")["agentic"], F.lit("unknown"))
     known = (F.coalesce(F.size("shape"), F.lit(0)) > 0) & (F.coalesce(F.size("chunks"), F.lit(0)) > 0)
-    return assessed.groupBy("asset_id").agg(
-        F.count(graded).alias("n_graded"), F.every(graded == "pass").alias("grades_pass"), F.every(graded == "fail").alias("grades_fail"),
-        F.count(agentic).alias("n_agentic"), F.every(agentic == "within").alias("agentic_within"),
-        F.max(known).alias("grid_known"), F.coalesce(F.sum(F.when(known, geometry.chunk_count(F.col("shape"), F.col("chunks")))), F.lit(0)).alias("n_chunks"),
+    rows = assessed.select(
+        "asset_id", "ordinal", "codec", graded.alias("graded"), agentic.alias("agentic"), known.alias("known"),
+        F.when(known, geometry.chunk_count(F.col("shape"), F.col("chunks"))).alias("grid"), codecs.judge_codec(F.col("codec")).alias("judged"), codecs.codec_remedy(F.col("codec")).alias("remedy"),
     )
-
-
-def codec_facts(selected: DataFrame) -> DataFrame:
-    status = codecs.judge_codec(F.col("codec"))
-    return selected.groupBy("asset_id").agg(
-        F.count("*").alias("n_codecs"), F.every(status == "pass").alias("codecs_pass"), F.every(status == "fail").alias("codecs_fail"),
-        F.array_join(F.array_sort(F.collect_set("codec")), ", ").alias("codec_names"),
-        F.min_by(codecs.codec_remedy(F.col("codec")), F.when(codecs.codec_remedy(F.col("codec")).isNotNull(), F.col("ordinal"))).alias("codec_remedy"),
+    c = F.col
+    return rows.groupBy("asset_id").agg(
+        F.count("graded").alias("n_graded"), F.every(c("graded") == "pass").alias("grades_pass"), F.every(c("graded") == "fail").alias("grades_fail"),
+        F.count("agentic").alias("n_agentic"), F.every(c("agentic") == "within").alias("agentic_within"), F.max("known").alias("grid_known"), F.coalesce(F.sum("grid"), F.lit(0)).alias("n_chunks"),
+        F.count("*").alias("n_codecs"), F.every(c("judged") == "pass").alias("codecs_pass"), F.every(c("judged") == "fail").alias("codecs_fail"),
+        F.array_join(F.array_sort(F.collect_set("codec")), ", ").alias("codec_names"), F.min_by("remedy", F.when(c("remedy").isNotNull(), c("ordinal"))).alias("codec_remedy"),
     )
 
 
@@ -85,7 +82,7 @@ def facts(assets: DataFrame, variables: DataFrame, assessed: DataFrame, cf: Data
 
     ``variables`` is the full inventory, ``assessed`` its selected part after ``assess_chunking``.
     """
-    out = assets.join(variable_facts(variables), "asset_id", "left").join(chunk_facts(assessed), "asset_id", "left").join(codec_facts(assessed), "asset_id", "left")
+    out = assets.join(variable_facts(variables), "asset_id", "left").join(assessed_facts(assessed), "asset_id", "left")
     if cf is None:
         out = out.withColumn("cf_status", F.lit(None).cast("string")).withColumn("grid_mapping_ok", F.lit(False)).withColumn("cf_evidence", F.lit(None).cast("string"))
     else:

@@ -224,16 +224,16 @@ def codec_grid_ratio(spark, sf_dir):
     return compression.benchmark(samples, keepbits=8)
 
 
-def _cf(check) -> Query:
-    return lambda spark, sf_dir: check(frames.attributed(spark, sf_dir)).select("asset_id", "id", "ok")
+def _cf(cid: str) -> Query:
+    return lambda spark, sf_dir: conventions.check(frames.attributed(spark, sf_dir), cid).select("asset_id", "id", "ok")
 
 
-for _name, _check, _text in (
-    ("cf_units_and_name", conventions.check_units_and_name, sql.CF_UNITS), ("cf_coordinates", conventions.check_coordinates, sql.CF_COORDINATES),
-    ("cf_grid_mapping_dangling", conventions.check_grid_mapping, sql.CF_GRID_MAPPING), ("cf_bounds_dangling", conventions.check_bounds, sql.CF_BOUNDS),
-    ("cf_fill_values", conventions.check_fill_values, sql.CF_FILL), ("cf_scale_offset", conventions.check_scale_offset, sql.CF_SCALE),
+for _name, _id, _text in (
+    ("cf_units_and_name", "units_and_name", sql.CF_UNITS), ("cf_coordinates", "coordinate_identification", sql.CF_COORDINATES),
+    ("cf_grid_mapping_dangling", "grid_mapping", sql.CF_GRID_MAPPING), ("cf_bounds_dangling", "bounds", sql.CF_BOUNDS),
+    ("cf_fill_values", "fill_value_consistency", sql.CF_FILL), ("cf_scale_offset", "scale_offset_typing", sql.CF_SCALE),
 ):
-    QUERIES[_name], SQL[_name] = _cf(_check), _text
+    QUERIES[_name], SQL[_name] = _cf(_id), _text
 
 
 @query(sql.CF_ROLLUP)
