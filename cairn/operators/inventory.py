@@ -69,11 +69,13 @@ def resolvable(variables: DataFrame) -> DataFrame:
 
 
 def crs_containers(variables: DataFrame) -> DataFrame:
-    """Variables that hold a reference system: by their name, or because a ``grid_mapping`` names them."""
+    """Variables that hold a reference system: by their name, or because a ``grid_mapping`` names them.
+
+    A reference means the variable of that full name or, without one, the first with that last part.
+    """
     by_name = variables.filter(is_crs_container(F.col("name"))).select("asset_id", "name")
-    refs = variables.select("asset_id", F.col("attrs")["grid_mapping"].alias("ref")).filter("coalesce(ref, '') <> ''").distinct()
-    targets = resolvable(variables)
-    exact = refs.join(targets, ["asset_id", "ref"]).select("asset_id", "name")
-    loose = refs.join(targets.select("asset_id", "ref"), ["asset_id", "ref"], "left_anti").withColumn("ref", basename(F.col("ref"))).join(targets, ["asset_id", "ref"])
-    names = by_name.union(exact).union(loose.select("asset_id", "name")).distinct()
+    refs = variables.select("asset_id", F.col("attrs")["grid_mapping"].alias("wanted")).filter("coalesce(wanted, '') <> ''").distinct()
+    tried = refs.select("asset_id", "wanted", F.posexplode(F.array("wanted", basename(F.col("wanted")))).alias("how", "ref"))
+    met = tried.join(resolvable(variables), ["asset_id", "ref"]).groupBy("asset_id", "wanted").agg(F.min_by("name", "how").alias("name"))
+    names = by_name.union(met.select("asset_id", "name")).distinct()
     return variables.join(names, ["asset_id", "name"], "left_semi")

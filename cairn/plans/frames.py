@@ -48,11 +48,11 @@ def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K: V with attributes."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", *[F.expr(e).alias(n) for n, e in _ATTRS.items()])
+    """K: V with attributes, from the same pass over the parts."""
+    marks = ", ".join(f"{e} AS `{n}`" for n, e in _ATTRS.items())
+    rows = spark.sql(_V.format(part="{p}").replace("  p_name, p_size, p_brand\n", f"  p_name, p_size, p_brand, {marks}\n"), p=table(spark, sf_dir, "part"))
     pairs = F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).alias("v")) for n in _ATTRS])
-    attrs = parts.select(F.col("p_partkey").alias("ordinal"), F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("attrs"))
-    return variables(spark, sf_dir).drop("attrs").join(attrs, "ordinal")
+    return rows.withColumn("attrs", F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull()))).drop(*_ATTRS)
 
 
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
