@@ -92,17 +92,22 @@ def second_axes(rows: int, width: int, bucket_rows: int) -> int:
     return 0 if need <= 1 else min(full, 1 << max(0, round(np.log2(need / 2)) if need > 2 else 0))
 
 
-def cosines(query: np.ndarray, points: np.ndarray) -> np.ndarray:
+def default_probes(rows: int) -> int:
+    """Buckets that a query looks into in each table: more as rows grow, to hold the recall (sublinear in the rows)."""
+    return round(12 * max(1.0, rows / 20_000) ** 0.4)
+
+
+def cosines(query: np.ndarray, points: np.ndarray, lengths: np.ndarray, length: float) -> np.ndarray:
     """Cosines of one vector with rows, each summed in the same order whatever the number of rows."""
-    return (points * query).sum(axis=1) / (np.sqrt((points * points).sum(axis=1)) * np.sqrt((query * query).sum()))
+    return (points * query).sum(axis=1) / (lengths * length)
 
 
-def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     values, good = to_floats(column)
     values = np.where(np.isfinite(values), values, 0.0)
     norm = np.sqrt((values * values).sum(axis=1)) if values.size else np.zeros(len(values))
     good &= norm > 0
-    return values, values / np.where(norm > 0, norm, 1)[:, None], good
+    return values, values / np.where(norm > 0, norm, 1)[:, None], norm, good
 
 
 def search(
@@ -110,7 +115,7 @@ def search(
     queries: DataFrame,
     k: int = 5,
     tables: int = 12,
-    probes: int = 12,
+    probes: int | None = None,
     bucket_rows: int = 96,
     seed: int = 11,
     id_col: str = "vec_id",
@@ -122,7 +127,7 @@ def search(
     rows = part(vectors)
     asked = part(queries).groupBy("id").agg(F.min("v").alias("v"))
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    width = int(shape["d"] or 1)
+    width, probes = int(shape["d"] or 1), probes or default_probes(shape["n"])
     turns = Rotations(width, tables, second_axes(shape["n"], width, bucket_rows), seed)
     spare = rows.orderBy(F.xxhash64("id"), "id").limit(SPARE_ROWS).toArrow().combine_chunks()
 
@@ -131,7 +136,7 @@ def search(
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     sub = batch.slice(at, 1024)
-                    _, unit, good = _units(sub.column("v"))
+                    _, unit, _, good = _units(sub.column("v"))
                     use = np.flatnonzero(good)
                     if not len(use):
                         continue
@@ -168,9 +173,15 @@ def search(
 
 def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, repeated ids once (with their best score)."""
+    if len(scores) > 8 * k:  # only what reaches the kth score can be among the best, unless ids repeat
+        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        if len(set(ids[near].tolist())) >= k:
+            return near[_sorted_top(ids[near], scores[near], k)]
+    return _sorted_top(ids, scores, k)
+
+
+def _sorted_top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     order = np.lexsort((ids, -scores))
-    if len(order) > 4 * k and len(np.unique(ids)) == len(ids):
-        return order[:k]
     _, first = np.unique(ids[order], return_index=True)
     return order[np.sort(first)][:k]
 
@@ -184,13 +195,13 @@ def _ranked(found: pa.Table, group: list[str], k: int) -> Iterator[pa.RecordBatc
     if not len(both):
         return
     ids = found.column("id").to_numpy()
-    values, _, _ = _units(found.column("v"))
+    values, _, norm, _ = _units(found.column("v"))
     out_q, out_v, out_s = [], [], []
     for g in both:
         mid = starts[g + 1] - asked[g]
-        points, own = values[starts[g] : mid], ids[starts[g] : mid]
+        points, own, lengths = values[starts[g] : mid], ids[starts[g] : mid], norm[starts[g] : mid]
         for i in range(mid, starts[g + 1]):
-            scores = cosines(values[i], points)
+            scores = cosines(values[i], points, lengths, norm[i])
             use = np.flatnonzero(own != ids[i])
             top = use[_top(own[use], scores[use], k)]
             out_q.append(np.full(len(top), ids[i]))
@@ -200,17 +211,17 @@ def _ranked(found: pa.Table, group: list[str], k: int) -> Iterator[pa.RecordBatc
 
 
 def _against(batches: Iterator[pa.RecordBatch], spare: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
-    points, _, good = _units(spare.column("v"))
-    ids, points = spare.column("id").to_numpy()[good], points[good]
+    points, _, lengths, good = _units(spare.column("v"))
+    ids, points, lengths = spare.column("id").to_numpy()[good], points[good], lengths[good]
     for batch in batches:
-        values, _, fine = _units(batch.column("v"))
+        values, _, norm, fine = _units(batch.column("v"))
         width = max(values.shape[1], points.shape[1])
         values, wide = padded(values, width), padded(points, width)
         out = []
         for i in np.flatnonzero(fine):
             own = batch.column("id")[int(i)].as_py()
             use = np.flatnonzero(ids != own)
-            scores = cosines(values[i], wide[use])
+            scores = cosines(values[i], wide[use], lengths[use], norm[i])
             top = _top(ids[use], scores, k)
             out += [(own, int(ids[use][t]), float(scores[t])) for t in top]
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
