@@ -140,18 +140,15 @@ def text_scores(seen: DataFrame, model: TextModel) -> DataFrame:
     return source.mapInArrow(run, f"id {kind}, declared string, host string, site string, suffix string, ll array<double>, grams long")
 
 
-def _smoothed(scored: DataFrame, keys: list[str], parent: DataFrame | None, on: list[str], languages: int, weight: float) -> DataFrame:
-    """Shares of each language among the rows of a key, drawn to the parent's shares by ``weight`` rows."""
-    tops = [F.sum(F.when(F.col("top") == i + 1, 1).otherwise(0)).alias(f"n{i}") for i in range(languages)]
-    counts = scored.filter("top IS NOT NULL").groupBy(*keys).agg(*tops) if keys else scored.filter("top IS NOT NULL").agg(*tops)
-    n = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"n{i}"), F.lit(0)) for i in range(languages)])
-    if parent is None:
-        share = [(F.coalesce(F.col(f"n{i}"), F.lit(0)) + 1.0) / (n + float(languages)) for i in range(languages)]
-        return counts.select(*keys, F.array(*share).alias("share"))
-    up = parent.withColumnRenamed("share", "up")
-    joined = counts.join(up, on, "left") if on else counts.crossJoin(F.broadcast(up))  # one row: the shares of all
-    share = [(F.col(f"n{i}") + weight * F.col("up")[i]) / (n + weight) for i in range(languages)]
-    return joined.select(*keys, F.array(*share).alias("share"))
+def _counts(languages: int) -> list[Column]:
+    return [F.count_if(F.col("top") == i + 1).alias(f"n{i}") for i in range(languages)]
+
+
+def _smoothed(scored: DataFrame, keys: list[str], up: Column, languages: int, weight: float) -> DataFrame:
+    """Shares of each language among the rows of a key, drawn to the parent's shares ``up`` by ``weight`` rows."""
+    counts = scored.filter("top IS NOT NULL").groupBy(*keys).agg(*_counts(languages))
+    n = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(languages)])
+    return counts.withColumn("up", up).select(*keys, F.array(*[(F.col(f"n{i}") + weight * F.col("up")[i]) / (n + weight) for i in range(languages)]).alias("share"))
 
 
 def identify(
@@ -177,18 +174,17 @@ def identify(
     scored = scored.withColumn("top", F.when(F.col("grams") > 0, F.array_position("ll", F.array_max("ll"))).cast("int"))
     scored = stored(scored)  # a few numbers a document, read for the counts and again for the sum
 
-    everywhere = _smoothed(scored, [], None, [], count, weight)
-    sites = _smoothed(scored.filter("site IS NOT NULL"), ["site"], everywhere, [], count, weight)
-    hosts = scored.withColumn("site", F.coalesce("site", F.lit("")))
-    base = sites.union(everywhere.select(F.lit("").alias("site"), "share"))
-    hosts = stored(_smoothed(hosts.filter("host IS NOT NULL"), ["host", "site"], base, ["site"], count, weight).select("host", "share"))
+    total = scored.filter("top IS NOT NULL").agg(*_counts(count)).first()  # one number a language
+    general = F.array(*[F.lit((total[f"n{i}"] + 1.0) / (sum(total) + count)) for i in range(count)])
+    sites = _smoothed(scored.filter("site IS NOT NULL"), ["site"], general, count, weight).withColumnRenamed("share", "site_share")
+    counted = scored.filter("host IS NOT NULL").join(sites, "site", "left")
+    # The site's share is the same in all rows of a host, so it is carried as part of the key.
+    hosts = stored(_smoothed(counted, ["host", "site_share"], F.coalesce("site_share", general), count, weight).select("host", "share"))
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
-    general = everywhere.first()["share"]
 
     def likelihood(col: str) -> list[list]:
         """P(value | language) per value: declared languages and suffixes are few; rare values share one row."""
-        tops = [F.sum(F.when(F.col("top") == i + 1, 1).otherwise(0)).alias(f"n{i}") for i in range(count)]
-        found = scored.filter(F.col(col).isNotNull() & F.col("top").isNotNull()).groupBy(col).agg(*tops).orderBy(F.desc("n0"), col)
+        found = scored.filter(F.col(col).isNotNull() & F.col("top").isNotNull()).groupBy(col).agg(*_counts(count))
         found = found.withColumn("n", reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(count)])).orderBy(F.desc("n"), col).limit(256).collect()
         sums = [sum(r[f"n{i}"] for r in found) for i in range(count)]
         return [[r[col], [float(np.log((r[f"n{i}"] + 1.0) / (sums[i] + len(found) + 1.0))) for i in range(count)]] for r in found]
@@ -200,7 +196,7 @@ def identify(
         pairs = [x for value, logs in table for x in (F.lit(value), F.array(*[F.lit(v) for v in logs]))]
         return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(col)), F.array(*[F.lit(0.0)] * count))
 
-    joined = scored.join(hosts, "host", "left").withColumn("share", F.coalesce("share", F.array(*[F.lit(float(x)) for x in general])))
+    joined = scored.join(hosts, "host", "left").withColumn("share", F.coalesce("share", general))
     joined = joined.withColumn("__d", added("declared")).withColumn("__s", added("suffix"))
     logs = [F.lit(temper) * F.col("ll")[i] + F.log(F.col("share")[i]) + F.col("__d")[i] + F.col("__s")[i] for i in range(count)]
     joined = joined.withColumn("logs", F.array(*logs)).withColumn("most", F.array_max("logs"))
