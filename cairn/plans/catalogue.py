@@ -36,7 +36,7 @@ def _footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet_footer.footers(spark, f"{sf_dir}/*.parquet")
 
 
-@query()
+@query(sql.ASSET_SCORECARD)
 def asset_scorecard(spark, sf_dir):
     """How ready is each table of this directory? One row per table."""
     rows = _footers(spark, sf_dir)

@@ -284,3 +284,17 @@ REMEDIATIONS = f"""{_ALL} SELECT asset_id, (row_number() OVER (PARTITION BY asse
 CMR = """
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'CC0' END AS license, CASE WHEN doc_id % 2 = 0 THEN concat('10.1/', doc_id) END AS doi, (doc_id % 4 = 3)::BIGINT AS n_docs, doc_id % 5 AS n_keywords, length(source)::BIGINT AS description_len,
   concat('s3://b/', doc_id) AS s3_url, (doc_id % 4 >= 1)::BIGINT AS n_https, CASE WHEN doc_id % 4 >= 2 THEN 'https://h/S3credentials/' END AS credentials_url FROM documents"""
+
+# --- the scorecard of the Parquet files themselves: what does not vary between them is stated as numbers
+_PNAME = "replace(path_in_schema, ', ', '.')"
+ASSET_SCORECARD = f"""
+WITH P AS (SELECT regexp_extract(file_name, '[^/]*$') AS asset_id, {_PNAME} AS name, min(column_id) AS ordinal, sum(row_group_num_rows) AS n, any_value(CASE WHEN contains(path_in_schema, ',') THEN 8 WHEN type = 'INT32' THEN 4 WHEN type = 'BOOLEAN' THEN 1 ELSE 8 END) AS width, any_value(type) AS type
+  FROM parquet_metadata('{FOOTERS}') GROUP BY 1, 2),
+R AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY n DESC, name, ordinal) AS rank FROM P WHERE type <> 'BOOLEAN' AND NOT ({" OR ".join(t for r, t in _reasons("name") if r in ("quality", "bounds", "crs", "coordinate-name"))})),
+G AS (SELECT asset_id, round(n * width / 2.0::DOUBLE / {MIB}::DOUBLE, 3) AS mb FROM R WHERE rank = 1),
+H AS (SELECT asset_id, {grade("mb")} AS g, mb BETWEEN 1 AND 16 AS fits FROM G),
+D AS (SELECT asset_id, g, round(CASE g WHEN 'pass' THEN 12 WHEN 'fail' THEN 0 ELSE 4.8 END + CASE WHEN fits THEN 7 ELSE 2.8 END + 1.5 + 1.8, 1)::DOUBLE AS dim_c FROM H),
+T AS (SELECT *, round(26 + 12 + dim_c + 7.5 + 3.5, 1) AS raw FROM D),
+U AS (SELECT *, CASE WHEN g = 'fail' AND raw > 74 THEN 74 ELSE raw END AS score FROM T)
+SELECT asset_id, 26.0::DOUBLE AS dim_a, 12.0::DOUBLE AS dim_b, dim_c, 7.5::DOUBLE AS dim_d, 3.5::DOUBLE AS dim_e, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 35 THEN 'D' ELSE 'F' END AS tier,
+  CASE WHEN g = 'fail' THEN 'NOT READY' ELSE 'READY WITH CAVEATS' END AS verdict, 'Low' AS confidence FROM U"""

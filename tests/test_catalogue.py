@@ -38,7 +38,7 @@ def test_against_sql(spark, sf_dir, tables, name):
     assert plain(got) == plain(want) and len(got)
 
 
-@pytest.mark.parametrize("name", ["asset_scorecard", "codec_grid_ratio", "report_markdown", "findings_documents"])
+@pytest.mark.parametrize("name", ["codec_grid_ratio", "report_markdown", "findings_documents"])
 def test_without_sql(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
