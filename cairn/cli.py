@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--all-variables", action="store_true")
     p.add_argument("--use-case", choices=("timeseries", "maps", "balanced"))
     p.add_argument("--profile", choices=("interactive", "training", "agentic"))
+    p.add_argument("--suggest", action="store_true", help="print the ranked variables and stop")
     p.add_argument("--style", choices=("verdict", "score", "both"), default="both")
     p.add_argument("--out", help="folder for reports and findings; without it the scores are printed")
     return p
@@ -61,7 +62,8 @@ def sniff(spark: SparkSession, path: str) -> str:
     head = heads.heads(spark, path).select(formats.sniff_bytes(F.col("head")).alias("f"), formats.ext_hint(F.col("path")).alias("e")).first()
     if head is None:
         return "unknown"
-    return head["f"] if head["f"] != "unknown" else head["e"] or "unknown"
+    found = head["f"] if head["f"] != "unknown" else head["e"] or "unknown"
+    return optional.refine_hdf5(path)[0] if found == "hdf5" else found
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -76,6 +78,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"the format of {args.path} is unknown; pass --format", file=sys.stderr)
         return 3
     assets, variables = load(spark, args.path, fmt)
+    if args.suggest:
+        inventory.rank_variables(variables, 10).select("asset_id", "rank", "name", "shape", "dtype").orderBy("asset_id", "rank").show(50, truncate=False)
+        return 0
     tokens, every = None, args.all_variables or (args.variables or "").strip().lower() == "all"
     if args.variables and not every:
         answers = assets.select("asset_id", F.lit(args.variables).alias("raw"))
@@ -85,7 +90,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"no variable matches {', '.join(missing)}", file=sys.stderr)
             return 4
     found = assess.assess(assets, variables, tokens=tokens, every=every, use_case=args.use_case)
-    reports = rendering.render(found.scores, found.checks, assets, found.assessed, found.inspected, style=args.style)
+    reports = rendering.render(found.scores, found.checks, assets, found.assessed, found.inspected, profile=args.profile, style=args.style)
     if args.out:
         rendering.write_reports(reports, f"{args.out}/reports")
         rendering.write_findings(rendering.findings_json(found.scores, found.checks), f"{args.out}/findings")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,19 +49,30 @@ def bit_round(values: np.ndarray, keep: int) -> np.ndarray:
     return np.where(np.isfinite(values), rounded.view(values.dtype), values)
 
 
-def compressed_size(raw: bytes, family: str, cname: str | None, level: int, shuffle: bool, itemsize: int) -> int:
-    """Bytes after compression with the codec that stands behind a configuration."""
-    data = shuffled(raw, itemsize) if shuffle else raw
+def unshuffled(raw: bytes, itemsize: int) -> bytes:
+    whole = len(raw) // itemsize * itemsize
+    return np.frombuffer(raw[:whole], np.uint8).reshape(itemsize, -1).T.tobytes() + raw[whole:]
+
+
+def trial(raw: bytes, family: str, cname: str | None, level: int, shuffle: bool, itemsize: int) -> tuple[int, float, float]:
+    """Bytes after compression, and MB a second of compression and decompression, with the codec that stands behind a configuration."""
     if family == "blosc":
         family, level = ("lz4", None) if cname == "lz4" else ("zstd", level)
     if family == "zlib":
         family = "gzip"
     codec = pa.Codec(family, compression_level=level) if family in ("zstd", "gzip") else pa.Codec("lz4_raw")
-    return codec.compress(data, asbytes=True).__len__()
+    began = time.perf_counter()
+    packed = codec.compress(shuffled(raw, itemsize) if shuffle else raw, asbytes=True)
+    middle = time.perf_counter()
+    data = codec.decompress(packed, decompressed_size=len(raw), asbytes=True)
+    if (unshuffled(data, itemsize) if shuffle else data) != raw:
+        raise ValueError("the codec did not return what it was given")
+    mb = len(raw) / fixed.MIB
+    return len(packed), round(mb / max(middle - began, 1e-9), 1), round(mb / max(time.perf_counter() - middle, 1e-9), 1)
 
 
 def benchmark(samples: DataFrame, keepbits: int | None = None, min_bytes: int = fixed.MIN_SAMPLE_BYTES) -> DataFrame:
-    """(``asset_id``, ``name``, ``seq``, ``config``, ``ratio``, ``is_current``, ``lossy``, ``max_abs_error``, ``error``).
+    """(``asset_id``, ``name``, ``seq``, ``config``, ``ratio``, ``compress_mbps``, ``decompress_mbps``, ``is_current``, ``lossy``, ``max_abs_error``, ``error``).
 
     ``samples`` has ``asset_id``, ``name``, ``codec`` and ``values`` (a decoded float chunk).
     Row 0 repeats the current codec; samples under ``min_bytes`` give no row. Each sample
@@ -75,11 +87,11 @@ def benchmark(samples: DataFrame, keepbits: int | None = None, min_bytes: int =
             rows = [r for row in batch.to_pylist() for r in _trials(row, keepbits, min_bytes)]
             yield pa.RecordBatch.from_pylist(rows, schema=_TRIALS)
 
-    return source.mapInArrow(run, "asset_id string, name string, seq int, config string, ratio double, is_current boolean, lossy boolean, max_abs_error double, error string")
+    return source.mapInArrow(run, "asset_id string, name string, seq int, config string, ratio double, compress_mbps double, decompress_mbps double, is_current boolean, lossy boolean, max_abs_error double, error string")
 
 
 _TRIALS = pa.schema([
-    ("asset_id", pa.string()), ("name", pa.string()), ("seq", pa.int32()), ("config", pa.string()), ("ratio", pa.float64()),
+    ("asset_id", pa.string()), ("name", pa.string()), ("seq", pa.int32()), ("config", pa.string()), ("ratio", pa.float64()), ("compress_mbps", pa.float64()), ("decompress_mbps", pa.float64()),
     ("is_current", pa.bool_()), ("lossy", pa.bool_()), ("max_abs_error", pa.float64()), ("error", pa.string()),
 ])
 
@@ -90,11 +102,12 @@ def _trials(row: dict, keepbits: int | None, min_bytes: int) -> list[dict]:
     if len(raw) < min_bytes:
         return []
     now, seq, out = row["now"], 0, []
-    base = {"asset_id": row["asset_id"], "name": row["name"], "is_current": False, "lossy": False, "ratio": None, "max_abs_error": None, "error": None}
+    base = {"asset_id": row["asset_id"], "name": row["name"], "is_current": False, "lossy": False, "ratio": None, "compress_mbps": None, "decompress_mbps": None, "max_abs_error": None, "error": None}
 
     def tried(config: str, data: bytes, family: str, cname: str | None, level: int, shuffle: bool, **more) -> dict:
         try:
-            return {**base, "config": config, "ratio": round(len(raw) / compressed_size(data, family, cname, level, shuffle, 4), 3), **more}
+            size, packing, unpacking = trial(data, family, cname, level, shuffle, 4)
+            return {**base, "config": config, "ratio": round(len(raw) / size, 3), "compress_mbps": packing, "decompress_mbps": unpacking, **more}
         except Exception as e:  # one codec's failure is a row of the result
             return {**base, "config": config, "error": f"{type(e).__name__}: {e}", **more}
 

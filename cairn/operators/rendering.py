@@ -59,13 +59,24 @@ def codec_lines(inspected: DataFrame) -> DataFrame:
 def benchmark_lines(trials: DataFrame) -> DataFrame:
     config = F.when(F.col("is_current"), F.concat(F.lit("**"), "config", F.lit(" (current)**"))).otherwise(F.col("config"))
     ratio = F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), escaped(F.col("error")))).otherwise(F.concat(F.format_string("%.3f", "ratio"), F.lit("x")))
-    return _lines(trials, F.concat(F.lit("| "), config, F.lit(" | "), ratio, F.lit(" |")), "seq", "trials")
+    speed = lambda c: F.coalesce(F.format_string("%.1f", c), F.lit(DASH))
+    return _lines(trials, F.concat(F.lit("| "), config, F.lit(" | "), ratio, F.lit(" | "), speed("compress_mbps"), F.lit(" | "), speed("decompress_mbps"), F.lit(" |")), "seq", "trials")
 
 
 def breach_lines(breaches: DataFrame) -> DataFrame:
     return _lines(breaches, F.concat(F.lit("| "), F.coalesce(F.col("stage"), F.lit("?")), F.lit(" | "), escaped(F.col("message")), F.lit(" |")), "seq", "breaches")
 
 
+def smoke_block(smoke: DataFrame) -> DataFrame:
+    """(``asset_id``, ``smoked``) from what a trial read measured; any number may be missing."""
+    text = lambda c, unit="": F.concat(F.coalesce(F.col(c).cast("string"), F.lit(DASH)), F.lit(unit))
+    cells = ["status", "requests_to_open", "bytes_to_open", ("time_to_open_s", " s"), ("ttfb_s", " s"), ("throughput_mbps", " MB/s"), "total_bytes"]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[text(*c) if isinstance(c, tuple) else text(c) for c in cells]), F.lit(" |"))
+    head = F.lit("| Status | Requests-to-open | Bytes-to-open | Time-to-open | Subset TTFB | Throughput | Total bytes |\n" + "|" + "---|" * 7 + "\n")
+    skipped = F.when(F.col("status") == "skipped", F.concat(F.lit("\n\n> **Smoke test skipped, confidence: reduced.** Reason: "), F.coalesce("reason", F.lit("unknown")))).otherwise("")
+    return smoke.select("asset_id", F.concat(head, row, skipped).alias("smoked"))
+
+
 def _profile_table() -> Column:
     """The three-profile table from the map column ``marks`` (check id to status and evidence)."""
     marks = F.create_map(*[F.lit(x) for kv in fixed.STATUS_MARKS.items() for x in kv])
@@ -83,10 +94,11 @@ def _or_none(name: str, why: str) -> Column:
     return F.coalesce(F.col(name), F.lit(f"_not assessed {DASH} {why}._"))
 
 
-def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: DataFrame | None = None, inspected: DataFrame | None = None, trials: DataFrame | None = None, breaches: DataFrame | None = None, style: str = "both") -> DataFrame:
+def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: DataFrame | None = None, inspected: DataFrame | None = None, trials: DataFrame | None = None, breaches: DataFrame | None = None, smoke: DataFrame | None = None, frames: DataFrame | None = None, profile: str | None = None, style: str = "both") -> DataFrame:
     """(``asset_id``, ``report``): Markdown in the style ``verdict``, ``score`` or ``both``.
 
     Sections without input say that they were not assessed; nothing fails for a missing part.
+    ``frames`` (``asset_id``, ``frame``) is the JSON text of what was sampled, shown up to 3,000 characters.
     """
     if style not in ("verdict", "score", "both"):
         raise ValueError(f"unknown style {style!r}")
@@ -94,6 +106,7 @@ def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: Da
     out = assets.select("asset_id", "format", "requests_to_open").join(scores, "asset_id")
     parts = [(criterion_lines(checks), "criteria"), (per_asset_lines(checks), "own_checks"), (remedy_lines(checks), "remedies"), (checks.groupBy("asset_id").agg(marks), "marks")]
     parts += [(f(x) if x is not None else None, n) for f, x, n in ((layout_lines, assessed, "layouts"), (codec_lines, inspected, "codecs"), (benchmark_lines, trials, "trials"), (breach_lines, breaches, "breaches"))]
+    parts += [(smoke_block(smoke) if smoke is not None else None, "smoked"), (frames.select("asset_id", "frame") if frames is not None else None, "frame")]
     for frame, name in parts:
         out = out.join(frame, "asset_id", "left") if frame is not None else out.withColumn(name, F.lit(None).cast("string"))
     points = [F.concat(F.lit(f"| {d} | {what} | "), number(F.col(f"dim_{d.lower()}")), F.lit(f" | {w} |\n")) for d, w, what in fixed.DIMENSIONS]
@@ -112,9 +125,13 @@ def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: Da
     blocks.append(section("Budget / stage breaches", F.coalesce(_table(["Stage", "Detail"], "breaches"), F.lit("No stage passed its caps."))))
     if scored:
         blocks.append(section("Per-asset findings", _table(["Check", "Dim", "Status", "Pts", "Evidence"], "own_checks")))
-        blocks.append(section("Compression", F.concat(F.coalesce(_table(["Variable", "Codec", "Status", "Note"], "codecs"), F.lit("_not assessed_")), F.coalesce(F.concat(F.lit("\n\n"), _table(["Config", "Ratio"], "trials")), F.lit("")))))
-        blocks.append(section("Chunking recommendations (all three profiles)", _profile_table()))
+        blocks.append(section("Smoke-test telemetry", _or_none("smoked", "smoke test was not run for this asset")))
+        blocks.append(section("Compression", F.concat(F.coalesce(_table(["Variable", "Codec", "Status", "Note"], "codecs"), F.lit("_not assessed_")), F.coalesce(F.concat(F.lit("\n\n"), _table(["Config", "Ratio", "Compress MB/s", "Decompress MB/s"], "trials")), F.lit("")))))
+        blocks.append(section("Chunking recommendations (all three profiles)", F.concat(_profile_table(), F.lit("\n\n" + (f"Primary intended profile: **{profile}**." if profile else "No primary profile was stated; the table covers all three.")))))
     blocks.append(section("Prioritized remediation", F.coalesce("remedies", F.lit("No check failed; nothing to remedy."))))
+    if scored:
+        shown = F.concat(F.lit("```json\n"), F.substring("frame", 1, 3000), F.lit("\n```"))
+        blocks.append(section("Sample frame (reproducibility)", F.coalesce(shown, F.lit(f"_not assessed {DASH} no sample frame was recorded for this run._"))))
     return out.select("asset_id", F.concat_ws("\n\n", *blocks).alias("report"))
 
 

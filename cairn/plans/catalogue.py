@@ -221,7 +221,7 @@ def codec_grid_ratio(spark, sf_dir):
     """Ten lossless and ten rounded trials on each embedding, repeated to the least sample size."""
     rows = frames.table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
     samples = rows.select(F.col("vec_id").cast("string").alias("asset_id"), F.lit("/embedding").alias("name"), F.lit("gzip+shuffle").alias("codec"), F.flatten(F.array_repeat("embedding", 256)).alias("values"))
-    return compression.benchmark(samples, keepbits=8)
+    return compression.benchmark(samples, keepbits=8).drop("compress_mbps", "decompress_mbps")  # timings differ from run to run
 
 
 def _cf(cid: str) -> Query:

@@ -53,6 +53,24 @@ def hdf5_rows(asset: str, path: str, most: int = fixed.MAX_OBJECTS) -> Iterator[
         yield _row(asset, "fail", f"{type(e).__name__}: {e}")
 
 
+def refine_hdf5(path: str) -> tuple[str, str]:
+    """(format, why): NetCDF-4 if the root has its marker or any top-level item is a dimension scale."""
+    try:
+        import h5py
+    except ImportError:
+        return "hdf5", "skipped: h5py is not installed"
+    try:
+        with h5py.File(path, "r") as h:
+            if "_NCProperties" in h.attrs:
+                return "netcdf4", "_NCProperties"
+            text = lambda v: v.decode() if isinstance(v, bytes) else str(v)
+            if any(text(item.attrs.get("CLASS", "")) == "DIMENSION_SCALE" for item in h.values()):
+                return "netcdf4", "DIMENSION_SCALE"
+            return "hdf5", "no marker of NetCDF-4"
+    except Exception as e:  # the file stays what its signature says
+        return "hdf5", f"failed: {type(e).__name__}: {e}"
+
+
 def cog_rows(asset: str, path: str) -> Iterator[dict]:
     try:
         import rasterio

@@ -286,3 +286,31 @@ def test_remediations_order(spark):
     rows = [("a", 0, "X", "A", 3.0, "fail", "r"), ("a", 1, "Y", "A", 9.0, "partial", "s"), ("a", 2, "Z", "B", 3.0, "fail", "t"), ("a", 3, "X", "A", 3.0, "fail", "r"), ("a", 4, "W", "B", 9.0, "pass", "u")]
     frame = spark.createDataFrame(rows, "asset_id string, seq int, id string, dimension string, points_possible double, status string, remediation string")
     assert [(r.rank, r.id) for r in scoring.remediations(frame).orderBy("rank").collect()] == [(1, "Y"), (2, "X"), (3, "Z")]
+
+
+def test_resolve_access(spark):
+    from cairn.operators import access as op
+
+    record = json.dumps({"RelatedUrls": [{"URL": "s3://b/x", "Type": "GET DATA VIA DIRECT ACCESS"}, {"URL": "https://b/s3credentials", "Type": "V"}], "License": "CC0"})
+    inputs = [("l", "/data/x.nc"), ("g", "G1-P"), ("n", "G2-P"), ("e", "G3-P"), ("o", "https://h/x"), ("r", "https://h/y"), ("d", "s3://b/k"), ("u", "https://h/z")]
+    probes = [("o", 1, "head", 403, None, None, 0.1), ("o", 2, "range-get", 206, None, '"t"', 0.2), ("r", 1, "head", 200, None, None, 0.1), ("r", 2, "range-get", 200, None, None, 0.3), ("d", 1, "range-get", None, "AccessDenied on read", None, None)]
+    args = (spark.createDataFrame(inputs, "asset_id string, input string"), spark.createDataFrame(probes, "asset_id string, seq long, stage string, status_code int, error string, etag string, seconds double"), spark.createDataFrame([("g", record), ("e", "{}")], "asset_id string, record string"))
+    got = {r.asset_id: r for r in op.resolve_access(*args).collect()}
+    assert {k: r.auth for k, r in got.items()} == {"l": "local", "g": "credentials", "n": "error", "e": "error", "o": "anonymous", "r": "anonymous", "d": "error", "u": "anonymous"}
+    told = {k: [(f.id, f.status) for f in r.findings] for k, r in got.items()}
+    assert told["l"] == [("D0-hosting", "skipped")] and told["n"] == told["e"] == [("D2-auth", "fail")] and told["o"] == [("D1-range", "pass")] and told["r"] == [("D1-range", "warn")]
+    assert told["d"] == [("D1-range", "skipped"), ("D2-auth", "skipped")] and told["g"] == [("D1-range", "skipped"), ("D2-auth", "pass")] and (got["g"].url, got["g"].cmr.license, got["o"].etag) == ("s3://b/x", "CC0", '"t"')
+    assert {r.auth for r in op.resolve_access(*args, no_network=True).collect()} == {"local", "no-network"}
+    assert op.finding_rows(op.resolve_access(*args)).count() == 10
+
+
+def test_report_with_every_part(spark):
+    found = excellent(spark)
+    assets = one_asset(spark, format="icechunk", requests_to_open=2)
+    smoke = spark.createDataFrame([("a", "skipped", 2, 4096, 0.2, 0.1, 42.3, None, "no network")], "asset_id string, status string, requests_to_open int, bytes_to_open long, time_to_open_s double, ttfb_s double, throughput_mbps double, total_bytes long, reason string")
+    breaches = spark.createDataFrame([("a", 1, "open", "byte cap|passed")], "asset_id string, seq int, stage string, message string")
+    samples = spark.createDataFrame([("a", "/tas", "gzip", [float(i % 7) for i in range(20_000)])], "asset_id string, name string, codec string, values array<double>")
+    frame = spark.createDataFrame([("a", '{"n": 8}')], "asset_id string, frame string")
+    text = rendering.render(found.scores, found.checks, assets, found.assessed, found.inspected, compression.benchmark(samples), breaches, smoke, frame, "training").first().report
+    for part in ("| skipped | 2 | 4096 | 0.2 s | 0.1 s | 42.3 MB/s", "Reason: no network", "byte cap\\|passed", "**current (gzip) (current)**", '```json\n{"n": 8}\n```', "**training**", "No check failed"):
+        assert part in text, part
