@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import access, codecs, fixed, formats, geometry, names
+from ..operators import access as resolving
 from ..operators import compression, conventions, inventory, rendering, sampling, scoring, telemetry
-from ..sources import parquet_footer
+from ..sources import parquet_footer, store_layout
 from . import assess, frames
 from . import catalogue_sql as sql
 
@@ -269,6 +270,28 @@ def store_errors(spark, sf_dir):
     return frames.table(spark, sf_dir, "pages").select("page_id", access.classify_store_error(text).alias("kind"), access.looks_like_archive(text).alias("archive"), access.infer_archive(text).alias("short_name"))
 
 
+@query(sql.RESOLVE)
+def resolve_inputs(spark, sf_dir):
+    """Routes, sign-in and findings of addresses, granules and local paths with probe rows and records."""
+    pages = frames.table(spark, sf_dir, "pages").select("page_id", "url", F.col("page_id").cast("string").alias("asset_id"))
+    text = F.expr("CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('G', page_id, '-P') WHEN 2 THEN concat('/d/', page_id) ELSE concat('s3://b/', page_id) END")
+    record = F.expr("""concat('{"RelatedUrls": [{"URL": "s3://g/', page_id, '", "Type": "GET DATA VIA DIRECT ACCESS"}, {"URL": "https://h/s3credentials", "Type": "V"}]}')""")
+    head = F.expr("CASE page_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 200 ELSE 403 END")
+    ranged = F.expr("CASE page_id % 3 WHEN 0 THEN 206 WHEN 1 THEN 200 ELSE 403 END")
+    row = lambda n, stage, code: F.struct(F.lit(n).cast("bigint").alias("seq"), F.lit(stage).alias("stage"), code.cast("int").alias("status_code"))
+    probes = pages.select("asset_id", F.inline(F.array(row(1, "head", head), row(2, "range-get", ranged)))).select("*", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("etag"), F.lit(0.1).alias("seconds"))
+    found = resolving.resolve_access(pages.select("asset_id", text.alias("input")), probes, pages.filter("page_id % 8 = 1").select("asset_id", record.alias("record")))
+    return found.select("asset_id", "input_kind", "auth", "url", F.array_join(F.transform("findings", lambda f: F.concat(f["id"], F.lit("="), f["status"])), ";").alias("findings"))
+
+
+@query(sql.STORES)
+def store_layouts(spark, sf_dir):
+    docs = frames.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("asset_id"), (F.col("doc_id") % 6).alias("k"))
+    listed = F.expr("CASE k WHEN 0 THEN array('zarr.json', '.zgroup') WHEN 1 THEN array('zarr.json') WHEN 2 THEN array('.zmetadata', '.zgroup') WHEN 3 THEN array('.zarray') WHEN 4 THEN array('refs', 'snapshots') ELSE array('refs') END")
+    document = F.expr("""CASE k WHEN 0 THEN '{"consolidated_metadata": {"metadata": {}}}' ELSE '{}' END""")
+    return store_layout.sniff_store(docs.select("asset_id", F.explode(listed).alias("key"), document.alias("document")))
+
+
 @query(sql.BREACHES)
 def budget_breaches(spark, sf_dir):
     return telemetry.first_breaches(frames.request_log(spark, sf_dir), 1_000_000).select("asset_id", "seq", "total_bytes", "requests")

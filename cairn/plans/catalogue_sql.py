@@ -298,3 +298,14 @@ T AS (SELECT *, round(26 + 12 + dim_c + 7.5 + 3.5, 1) AS raw FROM D),
 U AS (SELECT *, CASE WHEN g = 'fail' AND raw > 74 THEN 74 ELSE raw END AS score FROM T)
 SELECT asset_id, 26.0::DOUBLE AS dim_a, 12.0::DOUBLE AS dim_b, dim_c, 7.5::DOUBLE AS dim_d, 3.5::DOUBLE AS dim_e, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 35 THEN 'D' ELSE 'F' END AS tier,
   CASE WHEN g = 'fail' THEN 'NOT READY' ELSE 'READY WITH CAVEATS' END AS verdict, 'Low' AS confidence FROM U"""
+
+RESOLVE = """
+WITH p AS (SELECT page_id, page_id % 4 AS k, page_id % 3 AS c, page_id % 8 = 1 AS known, url FROM pages)
+SELECT page_id::VARCHAR AS asset_id, CASE k WHEN 1 THEN 'granule-id' WHEN 2 THEN 'local' ELSE 'url' END AS input_kind,
+  CASE WHEN k = 2 THEN 'local' WHEN k = 1 AND known THEN 'credentials' WHEN k = 1 THEN 'error' WHEN c = 2 THEN 'error' ELSE 'anonymous' END AS auth,
+  CASE k WHEN 0 THEN url WHEN 1 THEN CASE WHEN known THEN 's3://g/' || page_id ELSE 'G' || page_id || '-P' END WHEN 2 THEN '/d/' || page_id ELSE 's3://b/' || page_id END AS url,
+  CASE WHEN k = 2 THEN 'D0-hosting=skipped' WHEN k = 1 AND NOT known THEN 'D2-auth=fail'
+    ELSE 'D1-range=' || CASE c WHEN 0 THEN 'pass' WHEN 1 THEN 'warn' ELSE 'skipped' END || CASE WHEN k = 1 THEN ';D2-auth=pass' ELSE '' END END AS findings FROM p"""
+STORES = """
+SELECT doc_id::VARCHAR AS asset_id, CASE WHEN doc_id % 6 < 4 THEN 'zarr' WHEN doc_id % 6 = 4 THEN 'icechunk' ELSE 'unknown' END AS format,
+  CASE WHEN doc_id % 6 < 2 THEN 'v3' WHEN doc_id % 6 < 4 THEN 'v2' END AS zarr_version, CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS consolidated FROM documents"""
