@@ -132,7 +132,7 @@ def scores(net: Net, texts: list[bytes]) -> np.ndarray:
     return _sigmoid(features(net, iter(texts)) @ net.out + net.offset)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, epochs: int = 14, seed: int = 5) -> Net:
+def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, epochs: int = 10, seed: int = 5) -> Net:
     """Train on the chunk rows of each text; ``share`` is the share of label 1 among all training rows."""
     if len(labels) == 0 or labels.min() == labels.max():
         return Net(np.zeros((512, EMBED)), np.zeros((WIDTH * EMBED, FILTERS)), np.zeros(FILTERS), np.zeros(2 * FILTERS), 0.0, constant=share)
@@ -194,7 +194,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HELD_OUT_OF == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 800, train_chunks: int = 12) -> Net:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 800, train_chunks: int = 6) -> Net:
     """Fit the network on the bounded sample that the module describes."""
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y"))
     known = known.filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
