@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import formats
 from .operators import inventory, rendering
 from .plans import assess
+from .session import builder
 from .sources import optional, parquet_footer, store_layout
 
 
@@ -68,7 +69,7 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("cairn").getOrCreate()
+    spark = builder("cairn").getOrCreate()
     try:
         fmt = args.format or sniff(spark, args.path)
     except Exception as e:

@@ -13,13 +13,13 @@ SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
 
 @pytest.fixture(scope="session")
 def spark():
-    from pyspark.sql import SparkSession
+    from cairn.session import builder
 
     folder = tempfile.mkdtemp(prefix="cairn-tests-")
     session = (
-        SparkSession.builder.master("local[8]")
+        builder("tests")
+        .master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
