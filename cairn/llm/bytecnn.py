@@ -92,17 +92,23 @@ def features(net: Net, texts: Iterator[bytes], block: int = 96) -> np.ndarray:
     owner: list[np.ndarray] = []
     rows = 0
 
-    def flush() -> None:
+    def flush(last: bool = False) -> None:
+        """Score whole blocks of chunks. Products always have the same shape, so a text's score does not depend on its company."""
         nonlocal held, owner, rows
         if not rows:
             return
-        values, _ = net.pooled(np.concatenate(held))
-        own = np.concatenate(owner)
-        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        for i, high, add in zip(own[edges], np.maximum.reduceat(values, edges), np.add.reduceat(values.astype(np.float64), edges), strict=True):
-            top[i] = np.maximum(top[i], high)
-            total[i] += add
-        held, owner, rows = [], [], 0
+        whole, own = np.concatenate(held), np.concatenate(owner)
+        if last:
+            whole = np.concatenate([whole, np.zeros((-rows % block, CHUNK), np.uint8)])
+        for at in range(0, len(whole) - block + 1, block):
+            mine = own[at : at + block]
+            values = net.pooled(whole[at : at + block])[0][: len(mine)]
+            edges = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            for i, high, add in zip(mine[edges], np.maximum.reduceat(values, edges), np.add.reduceat(values.astype(np.float64), edges), strict=True):
+                top[i] = np.maximum(top[i], high)
+                total[i] += add
+        done = len(whole) // block * block
+        held, owner, rows = [whole[done:]], [own[done:]], max(0, rows - done)
 
     for i, data in enumerate(texts):
         view = chunk_view(data)
@@ -116,7 +122,7 @@ def features(net: Net, texts: Iterator[bytes], block: int = 96) -> np.ndarray:
             rows += len(part)
             if rows >= block:
                 flush()
-    flush()
+    flush(last=True)
     if not count:
         return np.zeros((0, 2 * FILTERS))
     return np.hstack([np.array(top), np.array(total) / np.array(count)[:, None]])
@@ -129,7 +135,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def scores(net: Net, texts: list[bytes]) -> np.ndarray:
     if net.constant is not None:
         return np.full(len(texts), net.constant)
-    return _sigmoid(features(net, iter(texts)) @ net.out + net.offset)
+    return _sigmoid((features(net, iter(texts)) * net.out.astype(np.float64)).sum(axis=1) + net.offset)
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, epochs: int = 10, seed: int = 5) -> Net:

@@ -354,6 +354,17 @@ def test_quality_cases(spark):
     assert bytecnn.score(docs(spark, texts).filter("doc_id > 99"), net).count() == 0
 
 
+def test_scores_do_not_depend_on_company(spark, sf_dir):
+    texts = [(r.text or "").encode() for r in read(spark, sf_dir, "documents").limit(150).collect()] + [b"", b"x", LONG.encode()]
+    net = bytecnn.fit([bytecnn.chunk_view(t) for t in texts[:20]], np.array([0, 1] * 10, np.float32), 0.5, epochs=2)
+    alone = np.array([bytecnn.scores(net, [t])[0] for t in texts])
+    order = np.random.default_rng(0).permutation(len(texts))
+    mixed = np.empty(len(texts))
+    for part in np.array_split(order, 7):
+        mixed[part] = bytecnn.scores(net, [texts[i] for i in part])
+    assert (alone == mixed).all()
+
+
 def test_chunks_cover_every_window():
     for n in (0, 1, 255, 256, 257, 495, 496, 497, 5000):
         data = bytes(np.random.default_rng(n).integers(1, 256, n, dtype=np.uint8))
