@@ -23,7 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local_base()
-    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process; call it once the results that read them are written."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 _LOCAL: list[str] = []

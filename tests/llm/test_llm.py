@@ -406,3 +406,12 @@ def test_cross_polytope_cases(spark):
     few = vectors(spark, [(0, [1.0, 0.0]), (7, [2.0]), (50, [0.0, 1.0])])
     assert [(r.query_id, r.vec_id) for r in sorted(crosspoly.search(few, few.filter("vec_id % 50 = 0")).collect())] == [(0, 7), (0, 50), (50, 0), (50, 7)]
     assert crosspoly.search(few.filter("vec_id < 0"), few.filter("vec_id < 0")).count() == 0
+
+
+def test_release_deletes_intermediate_tables(spark):
+    from cairn.llm import _shared
+
+    table = _shared.stored(spark.range(3).toDF("id"))
+    assert table.count() == 3 and _shared.release(spark) >= 1 and not _shared._MADE
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST|PATH_NOT_FOUND|No such file"):
+        spark.read.parquet(table.inputFiles()[0]).count()
