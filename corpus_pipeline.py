@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, language, linededup, poisson_mix, simhash
+from cairn.llm import bpe, language, linededup, poisson_mix, shingles
 from cairn.llm._shared import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,10 +35,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near fingerprints the one of least id stays (one row of it); rows without id all stay."""
-    first = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS)
-    return rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(rows.filter("doc_id IS NULL"))
+    """Of documents linked by near copies (five-word shingles, Jaccard 0.8 or more) one row of the least id stays; rows without id all stay."""
+    found = shingles.near_copies(docs, words=5, budget=4).filter("NOT first.none AND id = first.id AND key = first.key")
+    first = found.select(F.col("id").alias("doc_id"), F.col("key").alias("__key")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("text"))
+    kept = rows.join(first, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"]).select(*COLUMNS)
+    return kept.union(rows.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

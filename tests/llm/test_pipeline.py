@@ -1,9 +1,11 @@
 """Each stage of the pipeline against brute force on its own input."""
 
 import hashlib
+import re
 from collections import Counter
 
 import corpus_pipeline as pipeline
+import numpy as np
 import public_tokenizers
 from tests_llm_hand import components_by_hand, dedup_texts, fingerprint_by_hand
 
@@ -43,3 +45,33 @@ def test_stages_on_no_rows_and_nulls(spark, sf_dir):
     many = spark.createDataFrame([(i % 5 if i < 40 else None, "the of and that with this " * 4, "en", "s", 100) for i in range(43)], frame.schema)
     assert pipeline.language_id(spark, many, sf_dir).count() == 43
     assert sorted(str(r.doc_id) for r in pipeline.near_dedup(spark, many, sf_dir).collect()) == ["0", "None", "None", "None"]
+
+
+def similar_by_hand(texts):
+    """Pairs of places whose five-word shingle sets have Jaccard similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = [x for x in re.split("[\t\n\v\f\r ]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)]
+
+
+def test_near_dedup_is_exact(spark, sf_dir):
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 5000, 200).tolist() for _ in range(4)]
+    made = [b[:at] + [9000 + k] + b[at + 1 :] for b in base for k, at in enumerate(rng.integers(0, 200, 12))]
+    made += [b[: 200 - cut] + rng.integers(0, 5000, cut).tolist() for b in base for cut in (10, 18, 20, 22, 24, 30)]
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()] + [" ".join(map(str, x)) for x in made] + [None, "", "A b", "a B", "a b c d e f g h", "a b c d e f g h i"]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in similar_by_hand(texts):
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = pipeline.near_dedup(spark, frame, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted({root(i) for i in up})
