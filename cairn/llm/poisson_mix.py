@@ -2,7 +2,7 @@
 
 A source with size n and target weight w gets the mean repetition rate w * N / n, N being
 the size of all sources. Each document's copy count inverts the Poisson distribution of
-that mean at a uniform number that is a hash of seed and document id, so expected totals
+that mean (above 500 the sum of equal parts) at a uniform number that is a hash of seed and document id, so expected totals
 meet the weights, any subset of documents can be recomputed alone, and no state is shared.
 Each document is exploded by its count, and the copies are put in the global order of a
 hash of document id and copy number by a range-partitioned sort.
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 BROADCAST_SOURCES = 2000
 #: Hexadecimal digits of the MD5 that make the uniform number: 52 bits, exact in a double.
 DIGITS = 13
+#: Rates above this are the sum of equal parts, each a Poisson count of its own: exp(-rate) stays far above the smallest double.
+PART_RATE = 500.0
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from the hash of seed and key."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+def uniform(key: Column, seed: int, part: Column | None = None) -> Column:
+    """A number in [0, 1) from the hash of seed and key; parts of a rate after the first have their own."""
+    own = F.lit(f"{seed}:") if part is None else F.when(part == 0, f"{seed}:").otherwise(F.concat(F.lit(f"{seed}."), part.cast("string"), F.lit(":")))
+    text = F.concat(own, F.coalesce(key.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("long").cast("double") / F.lit(float(16**DIGITS))
 
 
@@ -46,10 +49,10 @@ def thresholds(rate: Column, most: Column) -> Column:
 
 
 def rates(docs: DataFrame, source_col: str = "source", weights: Mapping[str | None, float] | None = None, power: float = 0.5) -> DataFrame:
-    """(source, ``n``, ``rate``, ``cdf``) per source, from counts over all documents.
+    """(source, ``n``, ``rate``, ``parts``, ``cdf``) per source, from counts over all documents.
 
-    Target weights are ``weights``, or else proportional to n ** power. Rates up to 700 keep
-    exp(-rate) above the smallest double; the tail beyond ``cdf`` is below 1e-12.
+    Target weights are ``weights``, or else proportional to n ** power. ``cdf`` is that of
+    rate / parts, with parts of at most ``PART_RATE``; the tail beyond it is below 1e-12.
     """
     sizes = docs.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("n"))
     if weights is None:
@@ -60,9 +63,10 @@ def rates(docs: DataFrame, source_col: str = "source", weights: Mapping[str | No
     totals = sizes.agg(F.sum("n").alias("N"), F.sum("__w").alias("W")).first()  # two numbers
     total, weight = float(totals["N"] or 0), float(totals["W"] or 0) or 1.0
     rate = F.col("__w") / F.lit(weight) * F.lit(total) / F.col("n")
-    most = F.ceil(F.col("rate") + F.lit(10.0) * F.sqrt(F.col("rate")) + F.lit(12.0)).cast("int")
-    sized = sizes.withColumn("rate", rate)
-    return sized.withColumn("cdf", thresholds(F.col("rate"), most)).select("__source", "n", "rate", "cdf")
+    sized = sizes.withColumn("rate", rate).withColumn("parts", F.greatest(F.ceil(F.col("rate") / F.lit(PART_RATE)), F.lit(1)).cast("int"))
+    one = F.col("rate") / F.col("parts")
+    most = F.ceil(one + F.lit(10.0) * F.sqrt(one) + F.lit(12.0)).cast("int")
+    return sized.withColumn("cdf", thresholds(one, most)).select("__source", "n", "rate", "parts", "cdf")
 
 
 def mix(
@@ -81,9 +85,9 @@ def mix(
     # Counted over all documents above; only a checked size is broadcast.
     per_source = F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
     first = list(dict.fromkeys([id_col, source_col, *keep]))
-    rows = docs.select(*first).join(per_source.select("__source", "cdf"), F.col(source_col).eqNullSafe(F.col("__source")))
-    u = uniform(F.col(id_col), seed)
-    rows = rows.withColumn("__u", u).withColumn("__n", F.size(F.filter("cdf", lambda c: c <= F.col("__u"))))
+    rows = docs.select(*first).join(per_source.select("__source", "parts", "cdf"), F.col(source_col).eqNullSafe(F.col("__source")))
+    rows = rows.withColumn("__us", F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: uniform(F.col(id_col), seed, p)))
+    rows = rows.withColumn("__n", F.aggregate("__us", F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u))))
     rows = rows.filter("__n > 0").select(*first, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias(copy_col))
     key = F.md5(F.concat(F.lit(f"order {seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col(copy_col).cast("string")).cast("binary"))
     return rows.withColumn(order_col, key).orderBy(order_col)

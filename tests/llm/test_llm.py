@@ -278,6 +278,15 @@ def test_mix_inverts_poisson(spark):
     assert poisson_mix.mix(frame.filter("doc_id < 0")).count() == 0
 
 
+def test_mix_of_large_rates(spark):
+    from pyspark.sql import functions as F
+
+    for n, rate in ((1, 400), (1, 936), (1, 1500), (2, 1500)):
+        many = spark.range(n * rate).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "a").otherwise("b").alias("source"))
+        got = Counter(r.doc_id for r in poisson_mix.mix(many, weights={"a": 1.0}).collect())
+        assert all(abs(got[i] - rate) < 5 * np.sqrt(rate) for i in range(n)) and len({got[i] for i in range(n)}) == n
+
+
 # --- 8: SimHash
 
 
