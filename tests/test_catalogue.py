@@ -55,3 +55,22 @@ def test_library_does_not_need_the_optional_part():
         if "llm" not in file.parts:
             text = file.read_text()
             assert "cairn.llm" not in text and "from ..llm" not in text and "from .llm" not in text
+
+
+def test_every_embedding_is_benchmarked(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    from cairn.operators import compression
+
+    rows = np.random.default_rng(2).normal(size=(7, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.asset_id, r.config): r for r in QUERIES["codec_grid_ratio"](spark, str(tmp_path)).collect()}
+    assert len(got) == 7 * 21
+    for i, v in enumerate(rows):
+        raw = np.tile(v, 256)
+        for level in (1, 3):
+            config = f"zstd-{level}+shuffle"
+            for name, data in ((config, raw), (f"bitround8+{config}", compression.bit_round(raw, 8))):
+                packed = pa.Codec("zstd", compression_level=level).compress(data.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+                assert got[str(i), name].ratio == round(raw.nbytes / len(packed), 3)
