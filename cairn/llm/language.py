@@ -8,8 +8,9 @@ tables of declared languages and suffixes are grouped counts over all documents,
 language is at that point the one that the text alone suggests.
 
 The text model is fitted on a bounded sample: ``per_language`` documents of each declared
-language, those with the least hashes of their ids. Languages are the declared ones that
-hold at least ``least_share`` of all rows.
+language, those with the least hashes of their ids. Languages are the declared ones of at least
+``least_documents`` rows, however many rows other languages have. Rows that declare another
+language are rejected, not judged among the languages that have a model.
 
 A document is rejected if its text has no trigram of letters, if no language reaches
 ``confidence``, or if its trigrams fit every language far worse than an even distribution over
@@ -41,6 +42,8 @@ BROADCAST_HOSTS = 50_000
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Least mean log likelihood of a trigram, against an even distribution, of a text that is language at all.
 LEAST_FIT = -3.0
+#: Rows from which a declared language has a text model.
+LEAST_DOCUMENTS = 20
 
 
 def trigrams(data: bytes) -> np.ndarray:
@@ -96,11 +99,10 @@ def evidence(rows: DataFrame, id_col: str, text_col: str, declared: Column | Non
     )
 
 
-def fit_text(seen: DataFrame, per_language: int = 1000, least_share: float = 0.005, most_languages: int = 64) -> TextModel:
+def fit_text(seen: DataFrame, per_language: int = 1000, least_documents: int = LEAST_DOCUMENTS) -> TextModel:
     """Fit the trigram model on the bounded sample that the module describes."""
-    sizes = seen.filter("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most_languages).collect()
-    total = sum(r["count"] for r in sizes)
-    languages = sorted(r["declared"] for r in sizes if r["count"] >= least_share * total)
+    sizes = seen.filter("declared IS NOT NULL").groupBy("declared").count().filter(F.col("count") >= least_documents).collect()
+    languages = sorted(r["declared"] for r in sizes)
     if not languages:
         return TextModel([], np.zeros((1 << BITS, 0), np.float32))
     place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("declared")).cast("int") - 1
@@ -202,7 +204,8 @@ def identify(
     joined = joined.withColumn("logs", F.array(*logs)).withColumn("most", F.array_max("logs"))
     joined = joined.withColumn("sure", F.lit(1.0) / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most"))))
     array = F.array(*[F.lit(x) for x in names])
-    fits = (F.col("grams") > 0) & (F.array_max("ll") > F.lit(LEAST_FIT) * F.col("grams"))
+    modelled = F.coalesce(F.col("declared").isin(names), F.lit(True))
+    fits = modelled & (F.col("grams") > 0) & (F.array_max("ll") > F.lit(LEAST_FIT) * F.col("grams"))
     kept = fits & (F.col("sure") >= confidence)
     return joined.select(
         F.col("id").alias(id_col),

@@ -140,6 +140,20 @@ def test_language_evidence(spark, sf_dir):
     assert language.identify(frame.filter("doc_id < 0"), declared=F.col("lang"), host=F.col("source")).count() == 0
 
 
+def test_rare_languages_have_a_model(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()
+    rare = [r for r in rows if r.lang == "es"][:24]
+    most = [r for r in rows if r.lang != "es"] * 10  # the rare language holds less than half a percent
+    texts = [(i, r.text, r.lang) for i, r in enumerate(rare + most)] + [(10**6 + i, rare[i].text, "gl") for i in range(5)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(frame, declared=F.col("lang")).filter("doc_id < 24 OR doc_id >= 1000000").collect()}
+    assert len(rare) == 24 and len(rare) < 0.005 * len(texts)
+    assert sum(got[i].language == "es" for i in range(24)) >= 23
+    assert all(got[10**6 + i].language == "und" and not got[10**6 + i].kept for i in range(5))  # declared, but too few for a model
+
+
 # --- 4: line dedup
 
 
