@@ -13,8 +13,8 @@ language, those with the least hashes of their ids. Languages are the declared o
 language are rejected, not judged among the languages that have a model.
 
 A document is rejected if its text has no trigram of letters, if no language reaches
-``confidence``, or if its trigrams fit every language far worse than an even distribution over
-all trigrams would (random letters). Numbers, addresses and keys in a text do not count.
+``confidence``, or if its trigrams fit every language worse than an even distribution over
+all trigrams would (random letters, languages without a model). Numbers, addresses and keys in a text do not count.
 
 Defined cases: null and empty texts are rejected (language ``und``); missing evidence is
 left out of the sum; null hosts share one prior; a null id is kept; repeated rows give
@@ -41,7 +41,7 @@ BROADCAST_HOSTS = 50_000
 #: A-Z become a-z; digits, signs and blanks become one blank, so numbers and addresses say nothing of a language.
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Least mean log likelihood of a trigram, against an even distribution, of a text that is language at all.
-LEAST_FIT = -3.0
+LEAST_FIT = 0.0
 #: Rows from which a declared language has a text model.
 LEAST_DOCUMENTS = 20
 

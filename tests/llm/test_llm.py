@@ -154,6 +154,15 @@ def test_rare_languages_have_a_model(spark, sf_dir):
     assert all(got[10**6 + i].language == "und" and not got[10**6 + i].kept for i in range(5))  # declared, but too few for a model
 
 
+def test_languages_without_a_model_are_rejected(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    rows = read(spark, sf_dir, "documents").withColumn("known", F.when(F.col("lang") != "es", F.col("lang")))
+    found = language.identify(rows, declared=F.col("known")).join(rows.select("doc_id", "known"), "doc_id").toPandas()
+    assert found[found.known.isna()].kept.mean() < 0.05
+    assert found[found.known.notna()].kept.mean() > 0.99
+
+
 # --- 4: line dedup
 
 
