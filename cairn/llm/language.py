@@ -38,6 +38,8 @@ from ._shared import least_hashed, stored
 BITS = 15
 #: Hosts up to this number are broadcast; beyond it the join is left to Spark.
 BROADCAST_HOSTS = 50_000
+#: Declared languages or suffixes up to this number are literals of the plan; more are joined.
+LITERALS = 256
 #: A-Z become a-z; digits, signs and blanks become one blank, so numbers and addresses say nothing of a language.
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Least mean log likelihood of a trigram, against an even distribution, of a text that is language at all.
@@ -184,22 +186,25 @@ def identify(
     hosts = stored(_smoothed(counted, ["host", "site_share"], F.coalesce("site_share", general), count, weight).select("host", "share"))
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
 
-    def likelihood(col: str) -> list[list]:
-        """P(value | language) per value: declared languages and suffixes are few; rare values share one row."""
-        found = scored.filter(F.col(col).isNotNull() & F.col("top").isNotNull()).groupBy(col).agg(*_counts(count))
-        found = found.withColumn("n", reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(count)])).orderBy(F.desc("n"), col).limit(256).collect()
-        sums = [sum(r[f"n{i}"] for r in found) for i in range(count)]
-        return [[r[col], [float(np.log((r[f"n{i}"] + 1.0) / (sums[i] + len(found) + 1.0))) for i in range(count)]] for r in found]
-
-    def added(col: str) -> Column:
-        table = likelihood(col)
-        if not table:
-            return F.array(*[F.lit(0.0)] * count)
-        pairs = [x for value, logs in table for x in (F.lit(value), F.array(*[F.lit(v) for v in logs]))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(col)), F.array(*[F.lit(0.0)] * count))
+    def likelihood(col: str) -> tuple[DataFrame, int]:
+        """(``col``, ``logs``) of every declared language or suffix with the logs of P(value | language), and their number."""
+        found = stored(scored.filter(F.col(col).isNotNull() & F.col("top").isNotNull()).groupBy(col).agg(*_counts(count)))
+        sums = found.agg(F.count("*").alias("rows"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(count)]).first()
+        logs = [F.log((F.col(f"n{i}") + 1.0) / F.lit((sums[f"n{i}"] or 0) + sums["rows"] + 1.0)) for i in range(count)]
+        return found.select(col, F.array(*logs).alias("logs")), sums["rows"]
+
+    def added(rows: DataFrame, col: str, name: str) -> DataFrame:
+        """``rows`` with the logs of ``col``: few values as literals, more by a join."""
+        table, n = likelihood(col)
+        none = F.array(*[F.lit(0.0)] * count)
+        if n > LITERALS:
+            table = table.withColumnRenamed("logs", name)
+            return rows.join(F.broadcast(table) if n <= BROADCAST_HOSTS else table, col, "left").withColumn(name, F.coalesce(name, none))
+        pairs = [x for r in table.collect() for x in (F.lit(r[col]), F.array(*[F.lit(v) for v in r["logs"]]))]
+        return rows.withColumn(name, F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(col)), none) if pairs else none)
 
     joined = scored.join(hosts, "host", "left").withColumn("share", F.coalesce("share", general))
-    joined = joined.withColumn("__d", added("declared")).withColumn("__s", added("suffix"))
+    joined = added(added(joined, "declared", "__d"), "suffix", "__s")
     logs = [F.lit(temper) * F.col("ll")[i] + F.log(F.col("share")[i]) + F.col("__d")[i] + F.col("__s")[i] for i in range(count)]
     joined = joined.withColumn("logs", F.array(*logs)).withColumn("most", F.array_max("logs"))
     joined = joined.withColumn("sure", F.lit(1.0) / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most"))))

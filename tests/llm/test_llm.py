@@ -163,6 +163,19 @@ def test_languages_without_a_model_are_rejected(spark, sf_dir):
     assert found[found.known.notna()].kept.mean() > 0.99
 
 
+def test_every_suffix_counts(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = read(spark, sf_dir, "documents").withColumn("url", F.concat(F.lit("http://h."), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.concat(F.lit("s"), F.col("doc_id"))), F.lit("/")))
+    sure = lambda: {r.doc_id: (r.language, round(r.confidence, 9), r.kept) for r in language.identify(rows, declared=F.col("lang"), url_col="url").collect()}
+    joined = sure()
+    monkeypatch.setattr(language, "LITERALS", 10_000)
+    assert joined == sure()  # over 256 suffixes: the join gives what literals of all would
+    monkeypatch.setattr(language, "BROADCAST_HOSTS", 3)
+    monkeypatch.setattr(language, "LITERALS", 2)
+    assert joined == sure()
+
+
 # --- 4: line dedup
 
 
