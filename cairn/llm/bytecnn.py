@@ -7,9 +7,11 @@ greatest and the mean of its chunks' pooled values; a logistic unit combines the
 probability.
 
 Training uses a bounded sample: ``per_class`` labelled documents of each class, those with the
-least hash of their id among the rows that are not held out, and of each at most
-``train_chunks`` chunks evenly spread over the whole text. The logistic unit's offset is
-corrected from the sample's classes to those of all labelled training rows.
+least hash of their id among the rows that are not held out, and the whole text of each.
+The logistic unit's offset is corrected from the sample's classes to those of all labelled
+training rows. Filters are looked up: each byte has its share of each filter's value at each
+place of a window, and scoring adds these shares as whole numbers, so a score depends on
+the text alone, whatever is scored with it and whatever the processor.
 
 Defined cases: null and empty texts are one chunk of padding and get a score like any
 other; labels other than 0 and 1, null ids and null labels are not learned from; a document
@@ -38,26 +40,48 @@ GRAM = 5
 HELD_OUT_OF = 5
 
 
+#: Filter values are whole multiples of 1 / SCALE when texts are scored, so sums are exact in any order.
+SCALE = 1 << 16
+WINDOWS = (CHUNK - WIDTH) // STRIDE + 1
+#: Chunks that are worked on at once.
+BLOCK = 96
+
+
 @dataclass
 class Net:
     embed: np.ndarray  # 512 x EMBED: bytes without and with the mark of a repetition
-    filters: np.ndarray  # WIDTH*EMBED x FILTERS
+    filters: np.ndarray  # WIDTH x EMBED x FILTERS
     bias: np.ndarray  # FILTERS
     out: np.ndarray  # 2*FILTERS
     offset: float
     constant: float | None = None
 
-    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each chunk's greatest filter values, and the windows where they are."""
-        n = len(chunks)
-        x = self.embed[marked(chunks)].reshape(n, CHUNK * EMBED)
-        windows = np.lib.stride_tricks.sliding_window_view(x, WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED]
-        y = (np.ascontiguousarray(windows).reshape(-1, WIDTH * EMBED) @ self.filters).reshape(n, -1, FILTERS)
-        at = y.argmax(axis=1) if self.training else np.zeros((0, 0), np.int64)
-        best = y.max(axis=1) + self.bias
-        return np.maximum(best, 0), at
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tables and the bias in whole numbers."""
+        return np.rint(tables(self.embed, self.filters) * SCALE).astype(np.int32), np.rint(self.bias.astype(np.float64) * SCALE).astype(np.int32)
+
+
+def tables(embed: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    """What each byte adds to each filter at each place of a window: 2 x 512 x (WIDTH/2 * FILTERS), even places and odd ones.
 
-    training: bool = False
+    Only elementwise operations in a fixed order, here and in all of this module: matrix
+    products differ in the last bits between processors and with the shape of a block.
+    """
+    out = np.zeros((WIDTH, 512, FILTERS), np.float64)
+    for t in range(WIDTH):
+        for e in range(EMBED):
+            out[t] += embed[:, e, None].astype(np.float64) * filters[t, e].astype(np.float64)
+    return np.ascontiguousarray(out.reshape(WIDTH // 2, 2, 512, FILTERS).transpose(1, 2, 0, 3).reshape(2, 512, -1))
+
+
+def convolved(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """chunks x windows x filters: the sum of the table's rows over the bytes of each window."""
+    pairs = table[0][codes[:, 0::2]]
+    pairs += table[1][codes[:, 1::2]]
+    y = pairs[:, :WINDOWS, :FILTERS] + pairs[:, 1 : WINDOWS + 1, FILTERS : 2 * FILTERS]
+    for j in range(2, WIDTH // 2):
+        y += pairs[:, j : WINDOWS + j, j * FILTERS : (j + 1) * FILTERS]
+    return y
 
 
 def marked(chunks: np.ndarray) -> np.ndarray:
@@ -83,8 +107,9 @@ def chunk_view(data: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(buffer, CHUNK)[::STEP]
 
 
-def features(net: Net, texts: Iterator[bytes], block: int = 96) -> np.ndarray:
+def features(net: Net, texts: Iterator[bytes]) -> np.ndarray:
     """Greatest and mean pooled values of each text, a bounded block of chunks at a time."""
+    table, bias = net.whole()
     top: list[np.ndarray] = []
     total: list[np.ndarray] = []
     count: list[int] = []
@@ -92,107 +117,132 @@ def features(net: Net, texts: Iterator[bytes], block: int = 96) -> np.ndarray:
     owner: list[np.ndarray] = []
     rows = 0
 
-    def flush(last: bool = False) -> None:
-        """Score whole blocks of chunks. Products always have the same shape, so a text's score does not depend on its company."""
-        nonlocal held, owner, rows
-        if not rows:
-            return
-        whole, own = np.concatenate(held), np.concatenate(owner)
-        if last:
-            whole = np.concatenate([whole, np.zeros((-rows % block, CHUNK), np.uint8)])
-        for at in range(0, len(whole) - block + 1, block):
-            mine = own[at : at + block]
-            values = net.pooled(whole[at : at + block])[0][: len(mine)]
+    def flush() -> None:
+        nonlocal rows
+        if rows:
+            mine = np.concatenate(owner)
+            values = np.maximum(convolved(marked(np.concatenate(held)), table).max(axis=1) + bias, 0)
             edges = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            for i, high, add in zip(mine[edges], np.maximum.reduceat(values, edges), np.add.reduceat(values.astype(np.float64), edges), strict=True):
+            for i, high, add in zip(mine[edges], np.maximum.reduceat(values, edges), np.add.reduceat(values.astype(np.int64), edges), strict=True):
                 top[i] = np.maximum(top[i], high)
                 total[i] += add
-        done = len(whole) // block * block
-        held, owner, rows = [whole[done:]], [own[done:]], max(0, rows - done)
+        held.clear()
+        owner.clear()
+        rows = 0
 
     for i, data in enumerate(texts):
         view = chunk_view(data)
-        top.append(np.zeros(FILTERS))
-        total.append(np.zeros(FILTERS))
+        top.append(np.zeros(FILTERS, np.int64))
+        total.append(np.zeros(FILTERS, np.int64))
         count.append(len(view))
-        for at in range(0, len(view), block):
-            part = view[at : at + block]
+        at = 0
+        while at < len(view):
+            part = view[at : at + BLOCK - rows]
             held.append(part)
             owner.append(np.full(len(part), i))
             rows += len(part)
-            if rows >= block:
+            at += len(part)
+            if rows >= BLOCK:
                 flush()
-    flush(last=True)
+    flush()
     if not count:
         return np.zeros((0, 2 * FILTERS))
-    return np.hstack([np.array(top), np.array(total) / np.array(count)[:, None]])
+    return np.hstack([np.array(top) / SCALE, np.array(total) / np.array(count)[:, None] / SCALE])
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """The exponential from sums and products alone, so it has the same bits on every processor."""
+    y, out = x / 256, np.ones_like(x)
+    for k in range(8, 0, -1):
+        out = 1 + y * out / k
+    for _ in range(8):
+        out = out * out
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + _exp(-np.clip(x, -30, 30)))
+
+
+def _weighed(x: np.ndarray, out: np.ndarray, offset: float) -> np.ndarray:
+    """``x @ out + offset``, added from the first column to the last."""
+    sums = np.full(len(x), float(offset))
+    for j in range(x.shape[1]):
+        sums += x[:, j] * float(out[j])
+    return sums
 
 
 def scores(net: Net, texts: list[bytes]) -> np.ndarray:
     if net.constant is not None:
         return np.full(len(texts), net.constant)
-    return _sigmoid((features(net, iter(texts)) * net.out.astype(np.float64)).sum(axis=1) + net.offset)
+    return _sigmoid(_weighed(features(net, iter(texts)), net.out, net.offset))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, epochs: int = 10, seed: int = 5) -> Net:
-    """Train on the chunk rows of each text; ``share`` is the share of label 1 among all training rows."""
+def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, epochs: int = 14, seed: int = 5) -> Net:
+    """Train on the chunks of whole texts; ``share`` is the share of label 1 among all training rows."""
     if len(labels) == 0 or labels.min() == labels.max():
-        return Net(np.zeros((512, EMBED)), np.zeros((WIDTH * EMBED, FILTERS)), np.zeros(FILTERS), np.zeros(2 * FILTERS), 0.0, constant=share)
+        return Net(np.zeros((512, EMBED)), np.zeros((WIDTH, EMBED, FILTERS)), np.zeros(FILTERS), np.zeros(2 * FILTERS), 0.0, constant=share)
     rng = np.random.default_rng(seed)
     p = {
-        "embed": np.tile(rng.normal(0, 0.5, (256, EMBED)), (2, 1)).astype(np.float32),
-        "filters": rng.normal(0, 0.2, (WIDTH * EMBED, FILTERS)).astype(np.float32),
-        "bias": np.zeros(FILTERS, np.float32),
-        "out": rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32),
-        "offset": np.zeros(1, np.float32),
+        "embed": np.tile(rng.normal(0, 0.5, (256, EMBED)), (2, 1)),
+        "filters": rng.normal(0, 0.2, (WIDTH, EMBED, FILTERS)),
+        "bias": np.zeros(FILTERS),
+        "out": rng.normal(0, 0.1, 2 * FILTERS),
+        "offset": np.zeros(1),
     }
     p["embed"][256:, 0] += 1.0  # both kinds start apart in one direction
     first, second, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
+    codes = [marked(x) for x in texts]
     for epoch in range(epochs):
         rate = 0.01 * (0.5 ** (epoch / 4))
         order = rng.permutation(len(texts))
         for at in range(0, len(order), 32):
             chosen = order[at : at + 32]
-            grads = _gradients(p, [texts[i] for i in chosen], labels[chosen])
+            grads = _gradients(p, [codes[i] for i in chosen], labels[chosen].astype(np.float64))
             t += 1
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                p[k] -= (rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+                p[k] -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
     seen = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
     real = float(np.clip(share, 1e-3, 1 - 1e-3))
     shift = np.log(real / (1 - real)) - np.log(seen / (1 - seen))
     return Net(p["embed"], p["filters"], p["bias"], p["out"], float(p["offset"][0] + shift))
 
 
+def _pooled(codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each chunk's greatest filter values, and the first windows where they are."""
+    best, where = np.zeros((len(codes), FILTERS)), np.zeros((len(codes), FILTERS), np.int64)
+    for at in range(0, len(codes), BLOCK):
+        y = convolved(codes[at : at + BLOCK], table)
+        best[at : at + BLOCK] = top = y.max(axis=1)
+        where[at : at + BLOCK] = (y == top[:, None]).argmax(axis=1)
+    return best, where
+
+
 def _gradients(p: dict[str, np.ndarray], texts: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
-    net = Net(p["embed"], p["filters"], p["bias"], p["out"], 0.0, training=True)
-    chunks = np.concatenate(texts)
+    codes = np.concatenate(texts)
     counts = np.array([len(x) for x in texts])
     edges = np.concatenate([[0], np.cumsum(counts)[:-1]])
     owner = np.repeat(np.arange(len(texts)), counts)
-    values, where = net.pooled(chunks)
+    values, where = _pooled(codes, tables(p["embed"], p["filters"]).astype(np.float32))
+    values = np.maximum(values + p["bias"], 0)
     top = np.maximum.reduceat(values, edges)
     mean = np.add.reduceat(values, edges) / counts[:, None]
     x = np.hstack([top, mean])
-    error = (_sigmoid(x @ p["out"] + p["offset"]) - labels) / len(texts)
-    g = {"out": x.T @ error + 1e-4 * p["out"], "offset": np.array([error.sum()])}
+    error = (_sigmoid(_weighed(x, p["out"], p["offset"][0])) - labels) / len(texts)
+    g = {"out": (x * error[:, None]).sum(axis=0) + 1e-4 * p["out"], "offset": np.array([error.sum()])}
     back = error[:, None] * p["out"][None, :]
     dvalue = back[owner, FILTERS:] / counts[owner][:, None] + back[owner, :FILTERS] * (values == top[owner])
     dvalue = dvalue * (values > 0)
     g["bias"] = dvalue.sum(axis=0)
-    # Only the window where a filter is greatest gets a gradient.
-    starts = where * STRIDE
-    took = marked(chunks)[np.arange(len(chunks))[:, None, None], starts[:, :, None] + np.arange(WIDTH)]  # chunk x filter x width
-    inside = p["embed"][took].reshape(len(chunks), FILTERS, WIDTH * EMBED)
-    g["filters"] = np.einsum("cf,cfw->wf", dvalue, inside)
-    dinside = (dvalue[:, :, None] * p["filters"].T[None]).reshape(-1, EMBED)
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], took.reshape(-1), dinside)
+    # Only the window where a filter is greatest gets a gradient; it goes to the table's cell of each byte there.
+    took = codes[np.arange(len(codes))[:, None, None], (where * STRIDE)[:, :, None] + np.arange(WIDTH)].astype(np.int64)  # chunk x filter x width
+    cell = (np.arange(WIDTH) * 512 + took) * FILTERS + np.arange(FILTERS)[:, None]
+    dtable = np.bincount(cell.ravel(), np.repeat(dvalue.ravel(), WIDTH), WIDTH * 512 * FILTERS).reshape(WIDTH, 512, FILTERS)
+    g["filters"] = np.stack([(dtable * p["embed"][None, :, e, None]).sum(axis=1) for e in range(EMBED)], axis=1)
+    by_cell = np.ascontiguousarray(dtable.transpose(0, 2, 1)).reshape(-1, 512)
+    g["embed"] = np.stack([(by_cell * p["filters"][:, e].reshape(-1, 1)).sum(axis=0) for e in range(EMBED)], axis=1)
     return g
 
 
@@ -200,7 +250,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HELD_OUT_OF == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 800, train_chunks: int = 6) -> Net:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 800) -> Net:
     """Fit the network on the bounded sample that the module describes."""
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y"))
     known = known.filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -208,21 +258,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     chosen = least_hashed(known, "y", sizes, per_class).select("id", "y")
     share = sizes.get(1, 0) / sum(sizes.values()) if sizes else None
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = []
-            for text in batch.column("text"):
-                view = chunk_view((text.as_py() or "").encode())
-                spread = np.unique(np.linspace(0, len(view) - 1, min(len(view), train_chunks)).astype(int))
-                data.append(view[spread].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(data, pa.binary())], names=["id", "y", "chunks"])
-
-    # Two times per_class ids at most are broadcast, and as many short chunk lists come back.
+    # Two times per_class ids at most are broadcast, and as many texts come back.
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").mapInArrow(sampled, "id long, y int, chunks binary").toArrow()
-    rows = sorted(zip(got.column("id").to_pylist(), got.column("y").to_pylist(), got.column("chunks").to_pylist(), strict=True))
-    parts = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, _, c in rows]
-    return fit(parts, np.array([y for _, y, _ in rows], dtype=np.float32), 0.5 if share is None else float(share))
+    got = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").toArrow()
+    rows = sorted(zip(got.column("id").to_pylist(), got.column("y").to_pylist(), [(x or "").encode() for x in got.column("text").to_pylist()], strict=True))
+    return fit([chunk_view(x) for _, _, x in rows], np.array([y for _, y, _ in rows], dtype=np.float64), 0.5 if share is None else float(share))
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

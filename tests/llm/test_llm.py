@@ -2,6 +2,9 @@
 
 import base64
 import hashlib
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -410,6 +413,30 @@ def test_scores_do_not_depend_on_company(spark, sf_dir):
     assert (alone == mixed).all()
 
 
+def test_filters_equal_a_naive_convolution():
+    texts = [b"", b"abcde abcde abcde", "é good text, twice a good text".encode() * 12, bytes(range(256)) * 3]
+    net = bytecnn.fit([bytecnn.chunk_view(t) for t in texts], np.array([1, 0, 1, 0], np.float32), 0.5, epochs=3)
+    for text, got in zip(texts, bytecnn.features(net, iter(texts)), strict=True):
+        pooled = []
+        for chunk in bytecnn.chunk_view(text):
+            seen, codes = set(), []
+            for i, byte in enumerate(chunk.tolist()):
+                gram = bytes(chunk[i : i + 5])
+                codes.append(byte + 256 * (len(gram) == 5 and gram in seen))
+                seen.add(gram)
+            windows = [sum(net.embed[codes[at + t]] @ net.filters[t] for t in range(8)) for at in range(0, 249, 2)]
+            pooled.append(np.maximum(np.max(windows, axis=0) + net.bias, 0))
+        assert np.allclose(got, np.hstack([np.max(pooled, axis=0), np.mean(pooled, axis=0)]), atol=1e-3)
+
+
+def test_training_has_the_same_bits_on_every_processor():
+    code = "import numpy as np; from cairn.llm import bytecnn as b; t = [bytes(np.random.default_rng(i).integers(32, 90, 700, dtype=np.uint8)) for i in range(40)]; net = b.fit([b.chunk_view(x) for x in t], np.arange(40) % 2, 0.4, epochs=2); print(b.scores(net, t).tobytes().hex())"
+    root = os.path.dirname(os.path.dirname(bytecnn.__file__)).rsplit("/", 1)[0]
+    kinds = [{"OPENBLAS_CORETYPE": k} for k in ("Haswell", "Zen", "Prescott")] + [{"NPY_DISABLE_CPU_FEATURES": "AVX512F AVX512CD AVX512_SKX"}]
+    out = {subprocess.run([sys.executable, "-W", "ignore", "-c", code], env={**os.environ, "PYTHONPATH": root, **k}, capture_output=True, text=True, check=True).stdout for k in kinds}
+    assert len(out) == 1
+
+
 def test_chunks_cover_every_window():
     for n in (0, 1, 255, 256, 257, 495, 496, 497, 5000):
         data = bytes(np.random.default_rng(n).integers(1, 256, n, dtype=np.uint8))
