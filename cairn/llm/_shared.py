@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor sees.
 
-    Where that setting is absent (a local session of a test), a temporary folder serves;
-    on a cluster the setting is required and nothing is written to a local disk.
+    The setting is required on a cluster. Only in a local session, where driver and executors
+    are one process, an absent setting is set to a folder that goes with the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _local_base()
+        base = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
     _MADE.append(f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}")
     return _MADE[-1]
 
@@ -30,22 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 _MADE: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this process; call it once the results that read them are written."""
+def _delete(spark: SparkSession, paths: Iterable[str]) -> int:
     conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    for name in list(paths):
+        _MADE.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
-_LOCAL: list[str] = []
-
-
-def _local_base() -> str:
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="cairn-"))
-    return _LOCAL[0]
+def release(spark: SparkSession, *results: DataFrame) -> int:
+    """Delete the intermediate tables that ``results`` read (all of this process if none is given), once they are written."""
+    if not results:
+        return _delete(spark, _MADE)
+    read = {f"/{part}/" for r in results for f in r.inputFiles() for part in f.split("/") if part.startswith("cairn-")}
+    return _delete(spark, [m for m in _MADE if f"/{m.rsplit('/', 1)[1]}/" in read])
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -53,7 +56,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that no later step reads."""
+    for table in tables:
+        _delete(table.sparkSession, [table._stored_at])
 
 
 def to_floats(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +156,20 @@ def with_parts(df: DataFrame, hot: DataFrame | None, keys: Sequence[str], most:
     return df.join(small, list(keys), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
+def joined_hot(big: DataFrame, small: DataFrame, key: str, salt: Column, limit: int = 1_000_000, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (one row a key), where one key may hold a large part of ``big``.
+
+    Rows of a key with over ``limit`` rows are dealt by ``salt`` over parts, and its row of
+    ``small`` goes to each part. Counting is a map-side aggregation of one column.
+    """
+    hot = hot_keys(big.select(key), [key], limit)
+    if hot is None:
+        return big.join(small, key, how)
+    left = with_parts(big, hot, [key]).withColumn("__part", F.pmod(F.xxhash64(salt, F.lit(9)), F.col("parts").cast("long"))).drop("parts")
+    right = with_parts(small, hot, [key]).withColumn("__part", F.explode(F.expr("sequence(0L, parts - 1L)"))).drop("parts")
+    return left.join(right, [key, "__part"], how).drop("__part")
+
+
 def least_hashed(df: DataFrame, by: str, sizes: dict, most: int, id_col: str = "id") -> DataFrame:
     """The ``most`` rows of each class with the least hashes of their ids; ``sizes`` has the rows of each class.
 

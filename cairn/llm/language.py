@@ -24,7 +24,7 @@ gives an empty table; only the named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -88,8 +88,8 @@ def host_in(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def evidence(rows: DataFrame, id_col: str, text_col: str, declared: Column | None = None, url_col: str | None = None, host: Column | None = None) -> DataFrame:
-    """(``id``, ``text``, ``declared``, ``host``, ``site``, ``suffix``) from whichever columns there are."""
+def evidence(rows: DataFrame, id_col: str, text_col: str, declared: Column | None = None, url_col: str | None = None, host: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(``id``, ``text``, ``declared``, ``host``, ``site``, ``suffix``) from whichever columns there are, and ``carried``, a struct of the columns ``keep``."""
     none = F.lit(None).cast("string")
     host = host_in(F.col(url_col)) if url_col else host if host is not None else none
     labels = F.split(host, r"\.")
@@ -97,7 +97,7 @@ def evidence(rows: DataFrame, id_col: str, text_col: str, declared: Column | Non
     suffix = F.when(F.size(labels) > 1, F.element_at(labels, -1))
     return rows.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), (none if declared is None else F.lower(declared)).alias("declared"),
-        host.cast("string").alias("host"), site.alias("site"), suffix.alias("suffix"),
+        host.cast("string").alias("host"), site.alias("site"), suffix.alias("suffix"), F.struct(F.lit(0).alias("__"), *[F.col(c) for c in keep]).alias("carried"),
     )
 
 
@@ -129,9 +129,9 @@ def fit_text(seen: DataFrame, per_language: int = 1000, least_documents: int = L
 
 def text_scores(seen: DataFrame, model: TextModel) -> DataFrame:
     """``seen`` without its text, with ``ll`` (a list in the order of the languages) and ``grams``; no shuffle."""
-    source = seen.select("id", "declared", "host", "site", "suffix", "text")
-    kind = seen.schema["id"].dataType.simpleString()
-    kept = ["id", "declared", "host", "site", "suffix"]
+    kept = ["id", "declared", "host", "site", "suffix", "carried"]
+    source = seen.select(*kept, "text")
+    kind, carried = seen.schema["id"].dataType.simpleString(), seen.schema["carried"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +141,7 @@ def text_scores(seen: DataFrame, model: TextModel) -> DataFrame:
                 names=[*kept, "ll", "grams"],
             )
 
-    return source.mapInArrow(run, f"id {kind}, declared string, host string, site string, suffix string, ll array<double>, grams long")
+    return source.mapInArrow(run, f"id {kind}, declared string, host string, site string, suffix string, carried {carried}, ll array<double>, grams long")
 
 
 def _counts(languages: int) -> list[Column]:
@@ -166,14 +166,16 @@ def identify(
     weight: float = 20.0,
     confidence: float = 0.5,
     per_language: int = 1000,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(``id_col``, ``language``, ``confidence``, ``text_language``, ``kept``) for every row."""
-    seen = evidence(rows, id_col, text_col, declared, url_col, host)
+    """(``id_col``, ``language``, ``confidence``, ``text_language``, ``kept``) and the columns ``keep`` for every row."""
+    seen = evidence(rows, id_col, text_col, declared, url_col, host, keep)
+    carried = [F.col(f"carried.{c}") for c in keep]
     model = fit_text(seen, per_language)
     names, count = model.languages, len(model.languages)
     if not count:
         und = F.lit("und")
-        return seen.select(F.col("id").alias(id_col), und.alias("language"), F.lit(0.0).alias("confidence"), und.alias("text_language"), F.lit(False).alias("kept"))
+        return seen.select(F.col("id").alias(id_col), und.alias("language"), F.lit(0.0).alias("confidence"), und.alias("text_language"), F.lit(False).alias("kept"), *carried)
     scored = text_scores(seen, model)
     scored = scored.withColumn("top", F.when(F.col("grams") > 0, F.array_position("ll", F.array_max("ll"))).cast("int"))
     scored = stored(scored)  # a few numbers a document, read for the counts and again for the sum
@@ -218,4 +220,5 @@ def identify(
         F.when(fits, F.col("sure")).otherwise(0.0).alias("confidence"),
         F.when(F.col("top").isNull(), "und").otherwise(F.try_element_at(array, "top")).alias("text_language"),
         kept.alias("kept"),
+        *carried,
     )

@@ -57,12 +57,25 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     h = xxhash.xxh64_intdigest
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 8192):
-        hashes = np.array([h(line[a:b], seed) for a, b in zip(firsts[at : at + 8192], lasts[at : at + 8192], strict=True)], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([h(line[a:b], seed) for a, b in zip(firsts[at : at + 8192], lasts[at : at + 8192], strict=True)], dtype="<u8"))
+    return _over_half(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _over_half(ones: np.ndarray, n: int) -> int:
     return int(sum(1 << int(b) for b in np.flatnonzero(2 * ones > n)))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits that over half of them have set."""
+    return _over_half(sum((_ones(hashes[at : at + 8192]) for at in range(0, len(hashes), 8192)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """(``doc_id``, ``fp``): the fingerprint of each whole text as a signed 64-bit integer; no shuffle."""
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))

@@ -7,9 +7,10 @@ from collections import Counter
 import corpus_pipeline as pipeline
 import numpy as np
 import public_tokenizers
-from tests_llm_hand import components_by_hand, dedup_texts, fingerprint_by_hand
+import pytest
+from tests_llm_hand import dedup_texts
 
-from cairn.llm import bpe
+from cairn.llm import bpe, shingles
 
 
 def test_stages(spark, sf_dir):
@@ -26,8 +27,7 @@ def test_stages(spark, sf_dir):
     assert len(found) >= 0.99 * docs.count()
     assert {i: r.text for i, r in lined.items()} == dedup_texts([(i, r.text) for i, r in found.items()])
     assert all(r.n_chars == len(r.text) for r in lined.values())
-    prints = [(i, fingerprint_by_hand(r.text)) for i, r in lined.items()]
-    assert set(near) == set(components_by_hand(prints).values())
+    assert set(near) == kept_by_hand(sorted(lined), [lined[i].text for i in sorted(lined)])
     assert all(r.text == near[r.doc_id].text for r in mixed)
     model = bpe.model(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert Counter(r.doc_id for r in encoded) == Counter(r.doc_id for r in mixed)
@@ -56,12 +56,8 @@ def similar_by_hand(texts):
     return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)]
 
 
-def test_near_dedup_is_exact(spark, sf_dir):
-    rng = np.random.default_rng(8)
-    base = [rng.integers(0, 5000, 200).tolist() for _ in range(4)]
-    made = [b[:at] + [9000 + k] + b[at + 1 :] for b in base for k, at in enumerate(rng.integers(0, 200, 12))]
-    made += [b[: 200 - cut] + rng.integers(0, 5000, cut).tolist() for b in base for cut in (10, 18, 20, 22, 24, 30)]
-    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()] + [" ".join(map(str, x)) for x in made] + [None, "", "A b", "a B", "a b c d e f g h", "a b c d e f g h i"]
+def kept_by_hand(ids, texts):
+    """The least id of each component of similar texts; ``ids`` ascend."""
     up = list(range(len(texts)))
 
     def root(i):
@@ -72,6 +68,26 @@ def test_near_dedup_is_exact(spark, sf_dir):
     for i, j in similar_by_hand(texts):
         a, b = root(i), root(j)
         up[max(a, b)] = min(a, b)
+    return {ids[root(i)] for i in up}
+
+
+@pytest.mark.parametrize("limit", [8192, 6])
+def test_near_dedup_is_exact(spark, sf_dir, limit, monkeypatch):
+    monkeypatch.setattr(shingles, "GROUP_LIMIT", limit)
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 5000, 200).tolist() for _ in range(4)]
+    made = [b[:at] + [9000 + k] + b[at + 1 :] for b in base for k, at in enumerate(rng.integers(0, 200, 12))]
+    made += [b[: 200 - cut] + rng.integers(0, 5000, cut).tolist() for b in base for cut in (10, 18, 20, 22, 24, 30)]
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()] + [" ".join(map(str, x)) for x in made] + [None, "", "A b", "a B", "a b c d e f g h", "a b c d e f g h i"]
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
     got = pipeline.near_dedup(spark, frame, sf_dir).collect()
-    assert sorted(r.doc_id for r in got) == sorted({root(i) for i in up})
+    assert sorted(r.doc_id for r in got) == sorted(kept_by_hand(range(len(texts)), texts))
+
+
+def test_rows_of_one_id_follow_their_own_text(spark, sf_dir):
+    text = "the of and that with this is a plain text in one language that all know "
+    rows = [(1, text, "en", "s", 1), (1, "12 345 !", "en", "s", 2), (None, text, "en", "s", 3), (None, "#", "en", "s", 4), *[(10 + i, text * 3, "en", "s", 5) for i in range(30)]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(r.n_chars for r in pipeline.language_id(spark, frame, sf_dir).collect()) == {1: 1, 3: 1, 5: 30}
+    two = spark.createDataFrame([(5, "a b c d e f", "en", "s", 1), (5, "g h i j k l", "en", "s", 2), (7, "G h i j k l", "en", "s", 3)], frame.schema)
+    assert sorted(r.n_chars for r in pipeline.near_dedup(spark, two, sf_dir).collect()) == [1, 2]
