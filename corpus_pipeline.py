@@ -20,11 +20,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not identified go; the others carry the language found.
 
-    Rows of one id, or without id, stay together: if one is kept, all are.
+    Rows are matched by id and by all that decides (text, declared language, source), so
+    rows that share an id, or have none, follow their own decision.
     """
-    found = language.identify(docs, declared=F.col("lang"), host=F.col("source")).filter("kept")
-    found = found.groupBy(F.col("doc_id").alias("id")).agg(F.min("language").alias("found"))
-    kept = docs.select(*COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("id")))
+    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("text", "lang", "source"))
+    found = language.identify(keyed, declared=F.col("lang"), host=F.col("source"), keep=("__key",)).filter("kept")
+    found = found.groupBy(F.col("doc_id").alias("id"), F.col("__key").alias("key")).agg(F.min("language").alias("found"))
+    kept = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__key") == F.col("key")))
     return kept.select("doc_id", "text", F.col("found").alias("lang"), "source", "n_chars")
 
 
