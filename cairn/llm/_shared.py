@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 _MADE: list[str] = []
 
 
-def _delete(spark: SparkSession, paths: Iterable[str]) -> int:
+def delete(spark: SparkSession, paths: Iterable[str]) -> int:
+    """Delete folders that ``shared_dir`` gave."""
     conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
     for name in list(paths):
         _MADE.remove(name)
@@ -46,9 +47,9 @@ def _delete(spark: SparkSession, paths: Iterable[str]) -> int:
 def release(spark: SparkSession, *results: DataFrame) -> int:
     """Delete the intermediate tables that ``results`` read (all of this process if none is given), once they are written."""
     if not results:
-        return _delete(spark, _MADE)
+        return delete(spark, _MADE)
     read = {f"/{part}/" for r in results for f in r.inputFiles() for part in f.split("/") if part.startswith("cairn-")}
-    return _delete(spark, [m for m in _MADE if f"/{m.rsplit('/', 1)[1]}/" in read])
+    return delete(spark, [m for m in _MADE if f"/{m.rsplit('/', 1)[1]}/" in read])
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def stored(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete ``stored`` tables that no later step reads."""
     for table in tables:
-        _delete(table.sparkSession, [table._stored_at])
+        delete(table.sparkSession, [table._stored_at])
 
 
 def to_floats(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +90,16 @@ def to_floats(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     return out, good
 
 
+def usable_vectors(df: DataFrame, id_col: str, vector_col: str, nonzero: bool = False) -> DataFrame:
+    """(``id``, ``v``) of rows with an id and a vector without null or non-finite components (and not all zero); doubles stay doubles."""
+    kind = df.schema[vector_col].dataType.simpleString()
+    v = F.col(vector_col) if kind in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
+    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    if nonzero:
+        good &= F.exists("v", lambda x: x != 0)
+    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0) & good)
+
+
 def padded(matrix: np.ndarray, width: int) -> np.ndarray:
     if matrix.shape[1] >= width:
         return matrix
@@ -156,18 +167,19 @@ def with_parts(df: DataFrame, hot: DataFrame | None, keys: Sequence[str], most:
     return df.join(small, list(keys), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
-def joined_hot(big: DataFrame, small: DataFrame, key: str, salt: Column, limit: int = 1_000_000, how: str = "inner") -> DataFrame:
+def joined_hot(big: DataFrame, small: DataFrame, keys: Sequence[str] | str, salt: Column, limit: int = 1_000_000, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small`` (one row a key), where one key may hold a large part of ``big``.
 
     Rows of a key with over ``limit`` rows are dealt by ``salt`` over parts, and its row of
-    ``small`` goes to each part. Counting is a map-side aggregation of one column.
+    ``small`` goes to each part. Counting is a map-side aggregation of the key alone.
     """
-    hot = hot_keys(big.select(key), [key], limit)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hot = hot_keys(big.select(*keys), keys, limit)
     if hot is None:
-        return big.join(small, key, how)
-    left = with_parts(big, hot, [key]).withColumn("__part", F.pmod(F.xxhash64(salt, F.lit(9)), F.col("parts").cast("long"))).drop("parts")
-    right = with_parts(small, hot, [key]).withColumn("__part", F.explode(F.expr("sequence(0L, parts - 1L)"))).drop("parts")
-    return left.join(right, [key, "__part"], how).drop("__part")
+        return big.join(small, keys, how)
+    left = with_parts(big, hot, keys).withColumn("__part", F.pmod(F.xxhash64(salt, F.lit(9)), F.col("parts").cast("long"))).drop("parts")
+    right = with_parts(small, hot, keys).withColumn("__part", F.explode(F.expr("sequence(0L, parts - 1L)"))).drop("parts")
+    return left.join(right, [*keys, "__part"], how).drop("__part")
 
 
 def least_hashed(df: DataFrame, by: str, sizes: dict, most: int, id_col: str = "id") -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import group_starts, hot_keys, stored, whole_groups, with_parts
+from ._shared import discard, group_starts, hot_keys, joined_hot, stored, whole_groups, with_parts
 
 #: Distinct fingerprints of one subtrie that a single task joins; larger ones are split.
 GROUP_LIMIT = 8192
@@ -281,11 +281,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = joined_hot(both, least, "u", F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stored(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        pairs = stored(small.select("e.u", "e.v").filter("u <> v").distinct())
+        old, pairs = pairs, stored(small.select("e.u", "e.v").filter("u <> v").distinct())
+        discard(old, large)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -303,5 +304,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct.select("fp"), budget, group_limit))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(named)
-    tied = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(tied, "fp").select("doc_id", "fp", "component_id")
+    tied = joined_hot(named, named.groupBy("root").agg(F.min("least").alias("component_id")), "root", F.col("fp")).select("fp", "component_id")
+    return joined_hot(fps, tied, "fp", F.col("doc_id")).select("doc_id", "fp", "component_id")
