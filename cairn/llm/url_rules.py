@@ -17,6 +17,9 @@ The key line is cut into ranges of about equal numbers of urls, hashed ids break
 so a host or a path with a third of the pages is cut too. A rule reaches each range that
 its interval meets: at most the number of rules plus, for each cut, the rules nested there.
 
+Keys are compared as bytes; a rule's interval ends with its key and the byte FF, which is in no
+text, so it holds every key that begins with its own, whatever characters follow.
+
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule
 and gets the default verdict; an empty path starts with no rule's path but the empty one;
 rules that repeat a host and path count once, ``block`` before ``allow``; rules of equal
@@ -66,6 +69,11 @@ def rules_table(rules: DataFrame) -> DataFrame:
     )
 
 
+def _after(key: Column) -> Column:
+    """Bytes above all keys that begin with ``key`` and below all others that are greater."""
+    return F.concat(key.cast("binary"), F.unhex(F.lit("FF")))
+
+
 def _events(rules: DataFrame) -> DataFrame:
     """(``key``, ``closes``, ``key_end``, ``top``): opening and closing events with the rule on top of the stack after each.
 
@@ -78,18 +86,18 @@ def _events(rules: DataFrame) -> DataFrame:
     up = prefixes.join(named.select(F.col("key").alias("prefix"), F.col("own").alias("upper")), "prefix")
     parent = up.groupBy("key").agg(F.max_by("upper", F.length("prefix")).alias("parent"))
     both = named.join(parent, "key", "left")
-    opened = both.select("key", F.lit(0).alias("closes"), F.col("own").alias("top"), F.col("key").alias("of"))
-    closed = both.select(F.concat("key", F.lit("\U0010ffff")).alias("key"), F.lit(1).alias("closes"), F.col("parent").alias("top"), F.col("key").alias("of"))
+    opened = both.select(F.col("key").cast("binary").alias("key"), F.lit(0).alias("closes"), F.col("own").alias("top"), F.col("key").alias("of"))
+    closed = both.select(_after(F.col("key")).alias("key"), F.lit(1).alias("closes"), F.col("parent").alias("top"), F.col("key").alias("of"))
     return opened.union(closed)
 
 
 def _range_of(key: Column, cuts: Sequence[str]) -> Column:
-    """The number of ``cuts`` at or below ``key``, by halving."""
+    """The number of ``cuts`` (in hexadecimal) at or below the binary ``key``, by halving."""
     if not cuts:
         return F.lit(0)
-    line = F.array(*[F.lit(c) for c in cuts])
+    line, own = F.split(F.lit(",".join(cuts)), ","), F.hex(key)  # one constant of the plan, not one for each cut
     steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda pos, step: F.when((pos + step <= len(cuts)) & (F.try_element_at(line, pos + step) <= key), pos + step).otherwise(pos))
+    return F.aggregate(steps, F.lit(0), lambda pos, step: F.when((pos + step <= len(cuts)) & (F.try_element_at(line, pos + step) <= own), pos + step).otherwise(pos))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", ranges: int | None = None) -> DataFrame:
@@ -101,13 +109,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     # Hashed ids after the path spread pages of one address over several ranges.
     tie = F.concat(F.lit(END), F.hex(F.xxhash64("id", "path")))
     keys = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(reversed_host(F.slice(labels, -n, n)), F.lit(END), F.col("path")))
-    asked = urls.select("id", "host", "path", F.explode(keys).alias("key")).withColumn("key", F.concat("key", tie))
+    asked = urls.select("id", "host", "path", F.explode(keys).alias("key")).withColumn("key", F.concat("key", tie).cast("binary"))
 
     table = rules_table(rules)
     cuts = _cuts(pages, id_col, url_col, keys, tie, ranges)
     events = _events(table)
     # The state at the start of each range: every event is repeated in the ranges after it that its rule still covers.
-    span = table.select(F.col("key").alias("of"), _range_of(F.col("key"), cuts).alias("lo"), _range_of(F.concat("key", F.lit("\U0010ffff")), cuts).alias("hi"))
+    span = table.select(F.col("key").alias("of"), _range_of(F.col("key").cast("binary"), cuts).alias("lo"), _range_of(_after(F.col("key")), cuts).alias("hi"))
     opened = events.filter("closes = 0").join(span, "of").select(F.explode(F.sequence("lo", "hi")).alias("range"), "key", "closes", "top")
     closed = events.filter("closes = 1").withColumn("range", _range_of(F.col("key"), cuts)).select("range", "key", "closes", "top")
     changes = opened.union(closed).select("range", "key", F.lit(True).alias("event"), "top", *[F.lit(None).cast(t).alias(c) for c, t in _types(asked)])
@@ -127,7 +135,7 @@ def _types(asked: DataFrame) -> list[tuple[str, object]]:
 
 
 def _cuts(pages: DataFrame, id_col: str, url_col: str, keys: Column, tie: Column, ranges: int) -> list[str]:
-    """Keys that cut the line into ranges of about equal numbers of url keys.
+    """Keys, in hexadecimal, that cut the line into ranges of about equal numbers of url keys.
 
     They come from at most ``ranges * SAMPLED`` urls with the least hashes, as a range
     partitioner samples its bounds; they decide where rows are worked on, not what is found.
@@ -136,5 +144,5 @@ def _cuts(pages: DataFrame, id_col: str, url_col: str, keys: Column, tie: Column
         return []
     few = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).orderBy(F.xxhash64("id", "u")).limit(ranges * SAMPLED)
     few = few.select("id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
-    found = sorted(r[0] for r in few.select(F.explode(keys).alias("key"), tie.alias("tie")).select(F.concat("key", "tie")).collect())
+    found = sorted(r[0] for r in few.select(F.explode(keys).alias("key"), tie.alias("tie")).select(F.hex(F.concat("key", "tie").cast("binary"))).collect())
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
