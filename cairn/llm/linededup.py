@@ -1,11 +1,13 @@
 """Line deduplication against levelled sorted runs of line hashes.
 
-The index is a list of runs. A run is a table of distinct line hashes, dealt and sorted by
-hash, with the number of documents that hold the line and, for a line that the run saw
-first, the document that owns it. A new batch is reduced to its own distinct hashes,
-merge-joined with the runs (the anti part is new and gets an owner, the rest only adds to
-the counts) and written as one more run of level 0. Whenever a level has ``fan`` runs,
-they are merged into one run of the next level, so a batch meets few runs.
+The index is a list of runs. A run is a table of distinct line hashes, bucketed and sorted by
+hash, one file a bucket, with the number of documents that hold the line and, for a line
+that the run saw first, the document that owns it. A new batch is reduced to its own distinct
+hashes, dealt like the runs, and merge-joined with each of them: what no run has is new and
+gets an owner, the rest only adds to the counts. It becomes one more run of level 0.
+Whenever a level has ``fan`` runs, they are merged in the order of their hashes into one run of
+the next level, so a batch meets few runs. Runs are read as they lie: neither an added
+batch nor a merge shuffles or sorts the index.
 
 Batches go from the largest document ids to the smallest, so a line's owner is the largest
 id that holds it. Afterwards every line that is long and frequent enough is dropped from
@@ -14,7 +16,7 @@ all documents but its owner.
 Defined cases: null and empty texts are one empty line; a line's key is the line without
 ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased; a null document id counts as one
 document below all others; rows that repeat a document id are one document, and all of
-them keep the lines it owns; an empty table gives an empty table. Hashes have 128 bits.
+them keep the lines it owns; what a row drops is found by its id and its own text; an empty table gives an empty table. Hashes have 128 bits.
 Columns other than id, text and those named in ``keep`` are not read.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import shared_dir, stored
+from ._shared import delete, joined_hot, shared_dir, stored
 
 _TO_LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -50,8 +53,8 @@ def line_hash(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(``doc``, ``h1``, ``h2``): the distinct long lines of each row."""
-    source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), docs[text_col].alias("text"))
+    """(``doc``, ``row``, ``h1``, ``h2``): the distinct long lines of each row; ``row`` is a hash of its text."""
+    source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(docs[text_col]).alias("row"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,53 +64,91 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
                 found += own
                 counts.append(len(own))
             h = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            doc = np.repeat(batch.column("doc").to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["doc", "h1", "h2"])
+            doc, row = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("doc", "row"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["doc", "row", "h1", "h2"])
 
-    return source.mapInArrow(run, "doc long, h1 long, h2 long")
+    return source.mapInArrow(run, "doc long, row long, h1 long, h2 long")
+
+
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, plans take the files of a bucketed table as sorted: each bucket of a run is one sorted file."""
+    old = spark.conf.get(ORDERED)
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, old)
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder; a run is dealt by hash and each of its files is sorted."""
+    """Levelled sorted runs, bucketed tables in the shared folder. They stay until ``drop``, so later batches can be added."""
 
-    def __init__(self, spark: SparkSession, fan: int = 2):
+    def __init__(self, spark: SparkSession, fan: int = 2, buckets: int | None = None):
         self.spark, self.fan = spark, fan
-        self.base = shared_dir(spark)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.base}/{uuid.uuid4().hex}"
-        run.repartition("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-
-    def rows(self, paths: Sequence[str] | None = None) -> DataFrame:
-        """The rows of the given runs, or of all."""
-        paths = [p for level in self.levels for p in level] if paths is None else paths
-        if not paths:
+        self._paths: dict[str, str] = {}
+
+    def _written(self, run: DataFrame) -> str:
+        """``run``, dealt by hash to as many partitions as there are buckets, as a table of one file a bucket."""
+        name = f"cairn_run_{uuid.uuid4().hex}"
+        self._paths[name] = shared_dir(self.spark)
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self._paths[name]).saveAsTable(name)
+        return name
+
+    def _merged(self, older: str, newer: str) -> str:
+        """Two runs as one, by a merge of their buckets: counts are added, the owner is the older run's if it has one."""
+        a, b = (self.spark.table(x).select("h1", "h2", F.col("docs").alias(f"docs{i}"), F.col("owner").alias(f"owner{i}")) for i, x in enumerate((older, newer)))
+        docs = F.coalesce("docs0", F.lit(0)) + F.coalesce("docs1", F.lit(0))
+        out = self._written(a.hint("merge").join(b, ["h1", "h2"], "full").select("h1", "h2", docs.alias("docs"), F.coalesce("owner0", "owner1").alias("owner")))
+        self._forget(older, newer)
+        return out
+
+    def _forget(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")  # of an external table: the files stay
+            delete(self.spark, [self._paths.pop(name)])
+
+    def merged(self) -> DataFrame:
+        """All runs as one row per hash; they become one run."""
+        names = [name for level in reversed(self.levels) for name in level]
+        if not names:
             return self.spark.createDataFrame([], RUN)
-        return self.spark.read.schema(RUN).parquet(*paths)
-
-    def merged(self, paths: Sequence[str] | None = None) -> DataFrame:
-        """The runs as one row per hash: counts are added, the owner is the one that the first run gave."""
-        return self.rows(paths).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("owner").alias("owner"))
+        with _sorted_buckets(self.spark):
+            while len(names) > 1:
+                names = [self._merged(names[0], names[1]), *names[2:]]
+        self.levels = [[] for _ in self.levels[:-1]] + [names]
+        return self.spark.table(names[0])
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of (``doc``, ``h1``, ``h2``); documents of a batch must not be in earlier ones."""
-        own = batch.groupBy("h1", "h2", "doc").agg(F.lit(1)).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("first"))
-        if self.levels:
-            seen = self.rows().select("h1", "h2").distinct().withColumn("seen", F.lit(True))
-            own = own.join(seen.hint("merge"), ["h1", "h2"], "left")
-            own = own.withColumn("owner", F.when(F.col("seen").isNull(), F.col("first")))
-        else:
-            own = own.withColumn("owner", F.col("first"))
-        self._write(own.select("h1", "h2", "docs", "owner"), 0)
-        level = 0
-        while len(self.levels[level]) >= self.fan:
-            old, self.levels[level] = self.levels[level], []
-            self._write(self.merged(old), level + 1)
-            level += 1
+        own = batch.groupBy("h1", "h2", "doc").agg(F.lit(1)).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("owner"))
+        with _sorted_buckets(self.spark):
+            for i, name in enumerate(name for level in self.levels for name in level):
+                seen = self.spark.table(name).select("h1", "h2", F.lit(True).alias(f"seen{i}"))
+                own = own.join(seen.hint("merge"), ["h1", "h2"], "left")
+            marks = [F.col(c) for c in own.columns if c.startswith("seen")]
+            owner = F.when(F.coalesce(*marks, F.lit(False)), None).otherwise(F.col("owner")) if marks else F.col("owner")
+            self.levels = self.levels or [[]]
+            self.levels[0].append(self._written(own.select("h1", "h2", "docs", owner.alias("owner"))))
+            level = 0
+            while len(self.levels[level]) >= self.fan:
+                run, *rest = self.levels[level]
+                for other in rest:
+                    run = self._merged(run, other)
+                self.levels[level] = []
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(run)
+                level += 1
+
+    def drop(self) -> None:
+        self._forget(*[name for level in self.levels for name in level])
+        self.levels = []
 
 
 def _cuts(docs: DataFrame, id_col: str, batches: int) -> list[int]:
@@ -116,12 +157,15 @@ def _cuts(docs: DataFrame, id_col: str, batches: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int = 4) -> DataFrame:
-    """(``doc``, ``drops``): for each document that loses lines, the 16-byte hashes of these lines."""
-    spark = docs.sparkSession
+def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int = 4, runs: LineRuns | None = None) -> DataFrame:
+    """(``doc``, ``row``, ``drops``): for each document that loses lines, the 16-byte hashes of these lines.
+
+    With ``runs``, the documents are added to an index that is kept; those added before are
+    counted, and as they come first they own the lines they hold.
+    """
     lines = stored(line_hashes(docs, id_col, text_col, min_chars))
     cuts = _cuts(docs, id_col, batches)
-    runs = LineRuns(spark)
+    index = runs or LineRuns(docs.sparkSession)
     edges = [None, *cuts, None]
     for low, high in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
         part = lines
@@ -129,10 +173,12 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
             part = part.filter(F.col("doc") > low)
         if high is not None:
             part = part.filter(F.col("doc") <= high)
-        runs.add(part)
-    frequent = stored(runs.merged().filter(F.col("docs") >= min_docs).select("h1", "h2", "owner"))
-    pairs = lines.join(frequent, ["h1", "h2"]).filter(F.col("doc") != F.col("owner"))
-    return pairs.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+        index.add(part)
+    frequent = stored(index.merged().filter(F.col("docs") >= min_docs).select("h1", "h2", "owner"))
+    if runs is None:
+        index.drop()
+    pairs = joined_hot(lines, frequent, ["h1", "h2"], F.col("doc")).filter(F.col("doc") != F.col("owner"))
+    return pairs.groupBy("doc", "row").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
 
 def dedup_lines(
@@ -144,12 +190,13 @@ def dedup_lines(
     batches: int = 4,
     keep: Sequence[str] = (),
     outputs: Sequence[str] = ("kept_text",),
+    runs: LineRuns | None = None,
 ) -> DataFrame:
     """Each row's id, ``keep`` columns, ``n_lines``, ``n_dropped`` and the ``outputs`` ``kept_text`` and/or ``kept_sha256``."""
-    drops = frequent_lines(docs, id_col, text_col, min_chars, min_docs, batches)
+    drops = frequent_lines(docs, id_col, text_col, min_chars, min_docs, batches, runs)
     first = [id_col, *keep]
-    source = docs.select(*first, docs[text_col].alias("__text"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("__doc"))
-    joined = source.join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left").select(*first, "__text", F.col("drops").alias("__drops"))
+    source = docs.select(*first, docs[text_col].alias("__text"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("__doc"), F.xxhash64(docs[text_col]).alias("__row"))
+    joined = source.join(drops.withColumnsRenamed({"doc": "__doc", "row": "__row"}), ["__doc", "__row"], "left").select(*first, "__text", F.col("drops").alias("__drops"))
     schema = T.StructType([*[docs.schema[c] for c in first], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *[T.StructField(o, T.StringType()) for o in outputs]])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
