@@ -9,7 +9,9 @@ is exactly full, so counts are at most one apart (law ``rows``), and only overfl
 The overflow needs counts alone: rows per arc (shards x virtual numbers, whatever the data)
 are summed before any shuffle, a walk around the ring turns them into ranges of each arc
 that go to each shard, and a row finds its shard by its rank in the arc. Ranks come from
-counts of fine cells of the arcs, so no task sorts more than a cell.
+counts of fine cells of the arcs, so no task sorts more than a cell. An id with very many
+rows has one place; a cell with over ``HOT_ROWS`` rows is cut by a hash of id, size and CRC, and rows
+that are equal in all three are counted before they are ranked.
 
 Defined cases: the text counts UTF-8 bytes, a null text none; null document ids share a
 place on the ring; rows with equal ids are ordered by size and CRC, and rows equal in all
@@ -26,12 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import stored
+from ._shared import hot_keys, stored, with_parts
 
 #: The ring has 2**RING_BITS places.
 RING_BITS = 48
 #: Rows that one cell should hold; the number of cells follows the number of rows.
 CELL_ROWS = 20_000
+#: Rows beyond which a cell is cut further.
+HOT_ROWS = 4 * CELL_ROWS
 
 
 def place(key: Column) -> Column:
@@ -118,7 +122,12 @@ def assign(docs: DataFrame, shards: int = 24, virtual: int = 64, id_col: str = "
     # Places after the last point precede those before the first in the arc that closes the ring.
     turned = F.pmod(F.col("__at") - F.lit(ring[-1][0] + 1), F.lit(1 << RING_BITS))
     rows = rows.withColumn("__arc", arc.cast("int")).withColumn("__at", turned).withColumn("__cell", F.floor(F.col("__at") / F.lit(width)).cast("long"))
-    per_cell = stored(rows.groupBy("__arc", "__cell").agg(F.count("*").alias("__n")))
+    keys = list(dict.fromkeys([id_col, *keep]))
+    cut = hot_keys(rows.select("__arc", "__cell"), ["__arc", "__cell"], HOT_ROWS)
+    rows = with_parts(rows, cut, ["__arc", "__cell"])
+    rows = rows.withColumn("__sub", F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.col("parts").cast("long"))).drop("parts")
+    rows = rows.groupBy("__arc", "__cell", "__sub", "__at", *keys, "size", "text_crc32").agg(F.count("*").alias("__times"))
+    per_cell = stored(rows.groupBy("__arc", "__cell", "__sub").agg(F.sum("__times").alias("__n")))
     counts = [0] * len(ring)
     for r in per_cell.groupBy("__arc").agg(F.sum("__n").alias("n")).collect():  # at most shards x virtual rows
         counts[r["__arc"]] = r["n"]
@@ -131,12 +140,14 @@ def assign(docs: DataFrame, shards: int = 24, virtual: int = 64, id_col: str = "
     moves_type = T.StructType([T.StructField("__arc", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("__lo", "__hi", "__shard", "__base")]])
     # At most one range for each arc and one for each filled shard: small whatever the data.
     ranges = F.broadcast(spark.createDataFrame(schedule, moves_type))
-    running = Window.partitionBy("__arc").orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Cells are rows of counts, fewer than rows / CELL_ROWS and the number of arcs together.
+    running = Window.partitionBy("__arc").orderBy("__cell", "__sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum("__n").over(running) - F.col("__n")
-    offsets = per_cell.select("__arc", "__cell", before.alias("__before"))
-    in_cell = Window.partitionBy("__arc", "__cell").orderBy("__at", id_col, "size", "text_crc32")
-    ranked = rows.withColumn("__rn", F.row_number().over(in_cell) - 1)
-    ranked = ranked.join(offsets, ["__arc", "__cell"]).withColumn("__rank", F.col("__rn") + F.col("__before"))
+    offsets = per_cell.select("__arc", "__cell", "__sub", before.alias("__before"))
+    in_cell = Window.partitionBy("__arc", "__cell", "__sub").orderBy("__at", id_col, "size", "text_crc32", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("__rn", F.sum("__times").over(in_cell) - F.col("__times"))
+    ranked = ranked.join(offsets, ["__arc", "__cell", "__sub"]).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
+    ranked = ranked.withColumn("__rank", F.col("__rn") + F.col("__before") + F.col("__i"))
     placed = ranked.join(ranges, "__arc").filter((F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")))
     return placed.select(
         *dict.fromkeys([id_col, *keep]),
