@@ -11,8 +11,8 @@ A bucket with more rows than a task should hold is split into parts, and its que
 every part: no candidate of a probed bucket is dropped.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component
-take no part; shorter vectors count as filled with zeros; null ids take no part; rows that
-repeat an id are candidates once, a repeated query id asks once (with its least vector),
+take no part, neither as rows nor as queries; shorter vectors count as filled with zeros; null ids take no part; rows that
+repeat an id are candidates once, a repeated query id asks once (with the least of its usable vectors),
 and a query skips all rows with its own id; equal scores go to the smaller id; fewer found
 than k are completed from a stated set of rows, so tables smaller than that set are
 answered exactly; empty tables give empty tables; only the named columns are read.
@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import group_starts, hot_keys, padded, to_floats, whole_groups, with_parts
+from ._shared import group_starts, hot_keys, padded, stored, to_floats, usable_vectors, whole_groups, with_parts
 
 #: Rows that complete answers of too few candidates (a constant, whatever the data).
 SPARE_ROWS = 256
-GROUP_LIMIT = 8192
+#: Rows of one bucket that a task ranks; larger buckets are split.
+GROUP_LIMIT = 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -123,9 +124,8 @@ def search(
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """(``query_id``, ``rank``, ``vec_id``, ``score``): the k nearest found of each query by cosine."""
-    part = lambda df: df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<float>").alias("v")).filter("id IS NOT NULL AND size(v) > 0")
-    rows = part(vectors)
-    asked = part(queries).groupBy("id").agg(F.min("v").alias("v"))
+    rows = usable_vectors(vectors, id_col, vector_col, nonzero=True)
+    asked = usable_vectors(queries, id_col, vector_col, nonzero=True).groupBy("id").agg(F.min("v").alias("v"))
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     width, probes = int(shape["d"] or 1), probes or default_probes(shape["n"])
     turns = Rotations(width, tables, second_axes(shape["n"], width, bucket_rows), seed)
@@ -136,25 +136,24 @@ def search(
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     sub = batch.slice(at, 1024)
-                    _, unit, _, good = _units(sub.column("v"))
-                    use = np.flatnonzero(good)
-                    if not len(use):
-                        continue
-                    unit = padded(unit[use], turns.width)
+                    unit = padded(_units(sub.column("v"))[1], turns.width)
                     code = np.stack([turns.probes(unit, t, count) if count else turns.bucket(unit, t)[:, None] for t in range(tables)], axis=1)
-                    n = code.shape[2]
-                    which = np.repeat(use, tables * n)
-                    table = np.tile(np.repeat(np.arange(tables), n), len(use))
-                    taken = sub.take(pa.array(which))
-                    yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("v"), pa.array(table.astype(np.int64)), pa.array(code.reshape(-1).astype(np.int64))], names=["id", "v", "tab", "bucket"])
+                    codes = pa.array(code.reshape(len(unit), -1).astype(np.int64).tolist(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([sub.column("id"), sub.column("v"), codes], names=["id", "v", "codes"])
 
         return run
 
-    schema = "id long, v array<float>, tab long, bucket long"
+    def told(df: DataFrame, count: int) -> DataFrame:
+        """One row for each table and bucket."""
+        place = (F.col("place") / F.lit(max(count, 1))).cast("long").alias("tab")
+        return df.select("id", "v", F.posexplode("codes").alias("place", "bucket")).select("id", "v", place, "bucket")
+
     key = ["tab", "bucket"]
-    stored_rows = rows.mapInArrow(hashed(0), schema)
-    probing = asked.mapInArrow(hashed(probes), schema)
-    hot = hot_keys(stored_rows.select(*key), key, group_limit)
+    schema = lambda df: f"id long, v {df.schema['v'].dataType.simpleString()}, codes array<long>"
+    # Hashed once and stored: hot buckets are counted on the codes alone.
+    coded = stored(rows.mapInArrow(hashed(0), schema(rows)))
+    hot = hot_keys(told(coded, 1).select(*key), key, group_limit)
+    stored_rows, probing = told(coded, 1), told(asked.mapInArrow(hashed(probes), schema(asked)), probes).withColumn("v", F.col("v").cast(rows.schema["v"].dataType))
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts").cast("long")).alias("part")
     stored_rows = with_parts(stored_rows, hot, key).select("id", "v", *key, own, F.lit(0).alias("asks"))
     probing = with_parts(probing, hot, key).select("id", "v", *key, F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"), F.lit(1).alias("asks"))
