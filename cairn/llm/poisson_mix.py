@@ -21,8 +21,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import stored
+
 #: Sources up to this number are broadcast (each holds one array of thresholds); beyond it the join is left to Spark.
 BROADCAST_SOURCES = 2000
+#: Beyond it, rows of a source that are joined in one task; larger sources are split.
+SOURCE_ROWS = 1_000_000
 #: Hexadecimal digits of the MD5 that make the uniform number: 52 bits, exact in a double.
 DIGITS = 13
 #: Rates above this are the sum of equal parts, each a Poisson count of its own: exp(-rate) stays far above the smallest double.
@@ -54,7 +58,7 @@ def rates(docs: DataFrame, source_col: str = "source", weights: Mapping[str | No
     Target weights are ``weights``, or else proportional to n ** power. ``cdf`` is that of
     rate / parts, with parts of at most ``PART_RATE``; the tail beyond it is below 1e-12.
     """
-    sizes = docs.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("n"))
+    sizes = stored(docs.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("n")))
     if weights is None:
         sizes = sizes.withColumn("__w", F.sqrt(F.col("n").cast("double")) if power == 0.5 else F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
@@ -82,10 +86,17 @@ def mix(
 ) -> DataFrame:
     """One row per copy: ``id_col``, ``source_col``, ``keep``, ``copy`` from 0 and ``shuffle_key``, sorted by the key."""
     per_source = rates(docs, source_col, weights, power)
-    # Counted over all documents above; only a checked size is broadcast.
-    per_source = F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
     first = list(dict.fromkeys([id_col, source_col, *keep]))
-    rows = docs.select(*first).join(per_source.select("__source", "parts", "cdf"), F.col(source_col).eqNullSafe(F.col("__source")))
+    rows, same = docs.select(*first), F.col(source_col).eqNullSafe(F.col("__source"))
+    if per_source.count() <= BROADCAST_SOURCES:  # counted over all documents above
+        rows = rows.join(F.broadcast(per_source.select("__source", "parts", "cdf")), same)
+    else:
+        # Rows of large sources are dealt over several tasks by a hash of their ids.
+        large = per_source.filter(F.col("n") > SOURCE_ROWS).select(F.col("__source").alias("__large"), F.ceil(F.col("n") / F.lit(SOURCE_ROWS)).alias("__tasks"))
+        spread = lambda df, key: df.join(large, key.eqNullSafe(F.col("__large")), "left").withColumn("__tasks", F.coalesce("__tasks", F.lit(1))).drop("__large")
+        dealt = spread(rows, F.col(source_col)).withColumn("__task", F.pmod(F.xxhash64(id_col), F.col("__tasks"))).drop("__tasks")
+        each = spread(per_source, F.col("__source")).withColumn("__of", F.explode(F.expr("sequence(0L, __tasks - 1L)"))).select("__source", "parts", "cdf", "__of")
+        rows = dealt.join(each, same & (F.col("__task") == F.col("__of"))).drop("__task", "__of")
     rows = rows.withColumn("__us", F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: uniform(F.col(id_col), seed, p)))
     rows = rows.withColumn("__n", F.aggregate("__us", F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u))))
     rows = rows.filter("__n > 0").select(*first, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias(copy_col))
