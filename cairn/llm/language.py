@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import least_hashed, stored
+from ._shared import joined_hot, least_hashed, stored
 
 BITS = 15
 #: Hosts up to this number are broadcast; beyond it the join is left to Spark.
 BROADCAST_HOSTS = 50_000
+#: Rows of a host that are joined in one task beyond it; larger hosts are split.
+HOST_ROWS = 1_000_000
 #: Declared languages or suffixes up to this number are literals of the plan; more are joined.
 LITERALS = 256
 #: A-Z become a-z; digits, signs and blanks become one blank, so numbers and addresses say nothing of a language.
@@ -186,7 +188,7 @@ def identify(
     counted = scored.filter("host IS NOT NULL").join(sites, "site", "left")
     # The site's share is the same in all rows of a host, so it is carried as part of the key.
     hosts = stored(_smoothed(counted, ["host", "site_share"], F.coalesce("site_share", general), count, weight).select("host", "share"))
-    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    few_hosts = hosts.count() <= BROADCAST_HOSTS
 
     def likelihood(col: str) -> tuple[DataFrame, int]:
         """(``col``, ``logs``) of every declared language or suffix with the logs of P(value | language), and their number."""
@@ -205,7 +207,12 @@ def identify(
         pairs = [x for r in table.collect() for x in (F.lit(r[col]), F.array(*[F.lit(v) for v in r["logs"]]))]
         return rows.withColumn(name, F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(col)), none) if pairs else none)
 
-    joined = scored.join(hosts, "host", "left").withColumn("share", F.coalesce("share", general))
+    if few_hosts:
+        joined = scored.join(F.broadcast(hosts), "host", "left")
+    else:  # a host may hold a large part of all rows, and rows without a host need no join
+        joined = joined_hot(scored.filter("host IS NOT NULL"), hosts, "host", F.struct("id", "grams"), HOST_ROWS, "left")
+        joined = joined.unionByName(scored.filter("host IS NULL").withColumn("share", F.lit(None).cast("array<double>")))
+    joined = joined.withColumn("share", F.coalesce("share", general))
     joined = added(added(joined, "declared", "__d"), "suffix", "__s")
     logs = [F.lit(temper) * F.col("ll")[i] + F.log(F.col("share")[i]) + F.col("__d")[i] + F.col("__s")[i] for i in range(count)]
     joined = joined.withColumn("logs", F.array(*logs)).withColumn("most", F.array_max("logs"))

@@ -42,6 +42,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each page from its text, the language its markup declares, its address suffix and the priors of site and host."""
+    return language.identify(table(spark, sf_dir, "pages"), "page_id", "html", declared=language.declared_in(F.col("html")), url_col="url")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points or more that 5 documents hold stay in the largest one only."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5, outputs=("kept_sha256",))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_cross_polytope": op10_cross_polytope,
+    "language_of_pages": language_of_pages,
 }
 
 SQL: dict[str, str] = {

@@ -1,12 +1,14 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and its defined cases."""
 
 import base64
+import bisect
 import hashlib
 import os
 import subprocess
 import sys
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -71,8 +73,8 @@ def test_bpe_decode_and_whole_table(spark, sf_dir, exact):
     assert decoded == {k: v or "" for k, v in texts.items()}
     assert bpe.encode(docs(spark, ["x"]).filter("doc_id < 0"), PATH, PATTERN).count() == 0
     found = {r.doc_id: r for r in queries.op1_byte_bpe(spark, sf_dir).collect()}
-    for i, text in list(texts.items())[::50]:
-        ids = exact.encode_ordinary(text)
+    for i, text in texts.items():
+        ids = exact.encode_ordinary(text or "")
         assert (found[i].n_tokens, found[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
 
 
@@ -103,6 +105,15 @@ def test_url_rules(spark):
     assert got == want
 
 
+def test_url_rules_of_the_highest_characters(spark):
+    rules = [("com/", "allow"), ("a.com/en/", "block"), ("a.com/en/\U0010ffff", "allow")]
+    urls = [f"http://a.com/en/{x}" for x in ("\U0010ffffx", "\U0010ffff", "\U0010fffex", "\uffff", "\ud7ff", "\x7f", "")] + ["http://a.com/en0", "http://a.com/\U0010ffff", "http://a.con/en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for ranges in (1, 9):
+        got = {tuple(r) for r in url_rules.filter_urls(pages, spark.createDataFrame(rules, "rule string, verdict string"), ranges=ranges).collect()}
+        assert got == {(i, *rule_of(u, rules)) for i, u in enumerate(urls)}
+
+
 def test_url_rules_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     none = spark.createDataFrame([], "rule string, verdict string")
@@ -179,6 +190,56 @@ def test_every_suffix_counts(spark, sf_dir, monkeypatch):
     assert joined == sure()
 
 
+def test_evidence_is_summed(spark, sf_dir, monkeypatch):
+    """Whole ``pages`` with markup, suffix, site and host, against a plain sum; the truth is the language that the path names."""
+    from pyspark.sql import functions as F
+
+    rows = read(spark, sf_dir, "pages")
+    found = {r.page_id: r for r in queries.language_of_pages(spark, sf_dir).collect()}
+    seen = language.evidence(rows, "page_id", "html", language.declared_in(F.col("html")), "url")
+    model = language.fit_text(seen)
+    data = [(r, *model.score((r.text or "").encode())) for r in seen.collect()]
+    top = [int(np.argmax(ll)) if n else None for _, ll, n in data]
+    k = len(model.languages)
+    count = lambda use: np.array([sum(t == i and use(r) for (r, _, _), t in zip(data, top, strict=True)) for i in range(k)], float)
+    total = count(lambda r: True)
+    general = (total + 1) / (total.sum() + k)
+    assert k == 4 and any(r.suffix for r, _, _ in data) and any(r.site for r, _, _ in data) and any(r.declared for r, _, _ in data)
+    shares = {}
+    for r in {(r.site, r.host) for r, _, _ in data}:
+        at_site = count(lambda x, s=r[0]: s is not None and x.site == s)
+        site = (at_site + 20 * general) / (at_site.sum() + 20) if r[0] else general
+        at_host = count(lambda x, h=r[1]: h is not None and x.host == h)
+        shares[r] = (at_host + 20 * site) / (at_host.sum() + 20) if r[1] else general
+    tables = {}
+    for col in ("declared", "suffix"):
+        per = {v: count(lambda x, c=col, v=v: getattr(x, c) == v) for v in {getattr(r, col) for r, _, _ in data} - {None}}
+        per = {v: n for v, n in per.items() if n.sum()}
+        tables[col] = {v: np.log((n + 1) / (sum(per.values()) + len(per) + 1)) for v, n in per.items()}
+    for (r, ll, n), _ in zip(data, top, strict=True):
+        logs = 0.25 * ll + np.log(shares[r.site, r.host]) + sum(tables[c].get(getattr(r, c), np.zeros(k)) for c in ("declared", "suffix"))
+        sure = 1 / np.exp(logs - logs.max()).sum()
+        fits = (r.declared is None or r.declared in model.languages) and n > 0 and ll.max() > 0
+        got = found[r.id]
+        assert got.kept == (fits and sure >= 0.5) and got.language == (model.languages[int(np.argmax(logs))] if fits else "und")
+        assert got.confidence == pytest.approx(sure if fits else 0.0, abs=1e-6)
+    named = {r.page_id: r.url.split("/")[3] for r in rows.collect() if r.url and r.url.count("/") > 3}
+    truth = [(found[i].language, x) for i, x in named.items() if x in model.languages]
+    assert len(truth) > 50 and np.mean([a == b for a, b in truth]) > 0.95
+
+
+def test_hot_hosts_are_split(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    host = F.when(F.col("doc_id") % 4 != 0, F.lit("h.de")).when(F.col("doc_id") % 8 == 0, F.concat(F.lit("g.x"), F.col("doc_id")))
+    rows = read(spark, sf_dir, "documents")
+    found = lambda: {r.doc_id: (r.language, round(r.confidence, 9), r.kept) for r in language.identify(rows, declared=F.col("lang"), host=host).collect()}
+    whole = found()
+    monkeypatch.setattr(language, "BROADCAST_HOSTS", 3)
+    monkeypatch.setattr(language, "HOST_ROWS", 100)
+    assert found() == whole
+
+
 # --- 4: line dedup
 
 
@@ -205,9 +266,82 @@ def test_runs_are_levelled(spark):
     assert {r.h1: (r.docs, r.owner) for r in runs.merged().collect()} == {h: (sum(b <= h < b + 3 for b in range(5)), 9 - min(b for b in range(5) if b <= h < b + 3)) for h in range(7)}
 
 
+def test_runs_are_merged_as_they_lie(spark, capsys):
+    runs = linededup.LineRuns(spark, fan=9)
+    for b in range(2):
+        runs.add(spark.createDataFrame([(9 - b, h, 0) for h in range(b, b + 300)], "doc long, h1 long, h2 long"))
+    a, b = (spark.table(x) for x in runs.levels[0])
+    with linededup._sorted_buckets(spark):
+        a.hint("merge").join(b.withColumnsRenamed({"docs": "d", "owner": "o"}), ["h1", "h2"], "full").explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort [" not in plan
+    files = [x.rsplit("/", 1)[1] for x in a.inputFiles()]
+    assert len(files) == len({x.split("_")[-1] for x in files})  # one file a bucket
+    runs.drop()
+
+
+def test_an_index_outlives_a_call(spark):
+    line = "a line of more than forty code points that comes back"
+    first = docs(spark, [f"{line}\nown {i}" for i in range(3)], [10, 11, 12])
+    later = docs(spark, [f"{line}\nown {i}" for i in range(3)], [5, 6, 7])
+    runs = linededup.LineRuns(spark)
+    assert all(r.n_dropped == 0 for r in linededup.dedup_lines(first, runs=runs).collect())
+    assert {r.doc_id: r.kept_text for r in linededup.dedup_lines(later, runs=runs).collect()} == {5: "own 0", 6: "own 1", 7: "own 2"}
+    runs.drop()
+
+
 # --- 5: sharding
 
 
+def walked_by_hand(rows, shards, virtual):
+    """(id, size, crc) to shard: rows fill their own shard clockwise, what is over goes on to the next with room."""
+    nodes = ring.points(shards, virtual)
+    places = [p for p, _ in nodes]
+    arcs = [[] for _ in nodes]
+    for r in rows:
+        at = int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:12], 16)
+        arcs[bisect.bisect_left(places, at) % len(nodes)].append(((at - places[-1] - 1) % 2**48, r))
+    room, out, left = ring.bounds(len(rows), shards), {}, []
+    for arc, (_, shard) in zip(arcs, nodes, strict=True):
+        own = [r for _, r in sorted(arc)]
+        taken = min(len(own), room[shard])
+        room[shard] -= taken
+        out.update(dict.fromkeys(own[:taken], shard))
+        left.append(own[taken:])
+    waiting = []
+    for i in range(2 * len(nodes)):
+        shard = nodes[i % len(nodes)][1]
+        while waiting and room[shard]:
+            room[shard] -= 1
+            out[waiting.pop(0)] = shard
+        waiting += left[i] if i < len(nodes) else []
+    return out
+
+
+def test_ring_equals_a_plain_walk_and_moves_little(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents")
+    shard = lambda s: {(r.doc_id, r["size"], r.text_crc32): r.shard for r in ring.assign(rows, shards=s).collect()}
+    few, more = shard(24), shard(25)
+    assert few == walked_by_hand(list(few), 24, 64) and more == walked_by_hand(list(more), 25, 64)
+    new = sum(more[r] == 24 for r in few)
+    moved = sum(few[r] != more[r] for r in few)
+    assert new == len(few) // 25 and moved < 0.5 * len(few)
+
+
+def test_ring_of_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(ring, "HOT_ROWS", 20)
+    monkeypatch.setattr(ring, "CELL_ROWS", 10)
+    texts = [f"text {i % 60}" for i in range(200)] + ["x"] * 100
+    ids = [None] * 150 + [7] * 50 + list(range(100, 200))
+    got = ring.assign(docs(spark, texts, ids), shards=7, virtual=5).collect()
+    count = Counter(r.shard for r in got)
+    assert len(got) == 300 and max(count.values()) - min(count.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in sorted(count) for i in range(count[s])]
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t in zip(ids, texts, strict=True))
+
+
+
+
 def test_ring_bounds_and_overflow(spark, sf_dir):
     rows = queries.op5_ring_shards(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in read(spark, sf_dir, "documents").collect()}
@@ -275,6 +409,41 @@ def test_top_k_small(spark):
     assert covertree.top_k(few.filter("vec_id < 0"), few.filter("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_unusable_vectors_leave_good_ones_of_their_id(spark, kind):
+    rows = [(0, [1.0, 2.0]), (0, [None, 1.0]), (0, [float("nan"), 1.0]), (0, [0.0, 0.0]), (7, [2.0, 1.0]), (8, [3.0, -1.0]), (8, [None, 9.0])]
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    asked = frame.filter("vec_id = 0")
+    # The least usable vector asks: (0, 0) for inner products, (1, 2) for cosines, where a zero vector takes no part.
+    assert sorted(map(tuple, covertree.top_k(frame, asked).collect())) == [(0, 1, 7, 0), (0, 2, 8, 0)]
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(crosspoly.search(frame, asked).collect())] == [(0, 1, 7), (0, 2, 8)]
+    one = frame.filter("vec_id <> 0 OR embedding[0] = 1")
+    assert sorted(map(tuple, covertree.top_k(one, one.filter("vec_id = 0")).collect())) == [(0, 1, 7, 4 * 256 * 256), (0, 2, 8, 256 * 256)]
+
+
+def test_top_k_of_doubles_and_overflow(spark):
+    under = np.nextafter(3 / 256, 0)  # as a float it would be 3 / 256
+    frame = spark.createDataFrame([(0, [1.0]), (1, [float(under)])], "vec_id long, embedding array<double>")
+    assert [r.score for r in covertree.top_k(frame, frame.filter("vec_id = 0")).collect()] == [2 * 256]
+    cos = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1e-9]), (2, [1.0, 2e-9])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in crosspoly.search(cos, cos.filter("vec_id = 2")).orderBy("rank").collect()] in ([0, 1], [1, 0])
+    big = spark.createDataFrame([(0, [4e7] * 64), (1, [4e7] * 64), (2, [-1.0] * 64)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="63 bits"):
+        covertree.top_k(big, big.filter("vec_id = 0")).collect()
+    large = spark.createDataFrame([(0, [1e7, 1.0]), (1, [1e7, 2.0]), (2, [1e7, 3.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in covertree.top_k(large, large.filter("vec_id = 0")).orderBy("rank").collect()] == [(i, (256 * 10_000_000) ** 2 + 65536 * (i + 1)) for i in (2, 1)]
+
+
+def test_cover_tree_on_clusters(spark):
+    rng = np.random.default_rng(6)
+    centres = 40 * rng.normal(size=(8, 12))
+    values = (centres[np.arange(800) % 8] + rng.normal(0, 0.1, (800, 12))).astype(np.float32)
+    frame = vectors(spark, [(i, v.tolist()) for i, v in enumerate(values)])
+    got = covertree.top_k(frame, frame.filter("vec_id % 50 = 0"), block_rows=25)
+    whole = np.floor(256 * values.astype(float)).astype(int)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_top(range(800), whole, range(0, 800, 50), 5, lambda v, q: v @ q))
+
+
 # --- 7: mixing
 
 
@@ -326,6 +495,39 @@ def test_mix_of_large_rates(spark):
         assert all(abs(got[i] - rate) < 5 * np.sqrt(rate) for i in range(n)) and len({got[i] for i in range(n)}) == n
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 40).cast("string"))).alias("source"))
+    got = lambda: sorted((r.doc_id, r.copy) for r in poisson_mix.mix(many).collect())
+    whole = got()
+    monkeypatch.setattr(poisson_mix, "BROADCAST_SOURCES", 2)
+    monkeypatch.setattr(poisson_mix, "SOURCE_ROWS", 90)
+    assert got() == whole
+
+
+def test_mix_of_large_rates_is_a_sum_of_inversions(spark):
+    from pyspark.sql import functions as F
+
+    rate, ids = 1250.0, list(range(6))
+    many = spark.range(int(6 * rate)).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6, "a").otherwise("b").alias("source"))
+    got = Counter(r.doc_id for r in poisson_mix.mix(many, weights={"a": 1.0}).collect())
+    one = Fraction(rate) / 3  # three parts of at most 500
+    terms, p = [], Fraction(1)
+    for k in range(900):
+        terms.append(p)
+        p = p * one / (k + 1)
+    whole = sum(terms)  # e ** rate but for a tail far below the digits used
+    for i in ids:
+        copies = 0
+        for part in ("17:", "17.1:", "17.2:"):
+            u, total, k = Fraction(int(hashlib.md5(f"{part}{i}".encode()).hexdigest()[:13], 16), 16**13), Fraction(0), 0
+            while (total := total + terms[k]) <= u * whole:
+                k += 1
+            copies += k
+        assert got[i] == copies
+
+
 # --- 8: SimHash
 
 
@@ -480,10 +682,24 @@ def test_cross_polytope_cases(spark):
     assert crosspoly.search(few.filter("vec_id < 0"), few.filter("vec_id < 0")).count() == 0
 
 
+def test_joins_of_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.llm import _shared
+
+    big = spark.createDataFrame([(1 if i < 70 else i % 5 if i < 90 else None, i) for i in range(100)], "k long, v long")
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "k long, w string")
+    for how in ("inner", "left"):
+        plain = Counter(map(tuple, big.join(small, "k", how).select("k", "v", "w").collect()))
+        assert Counter(map(tuple, _shared.joined_hot(big, small, "k", F.col("v"), 10, how).select("k", "v", "w").collect())) == plain
+
+
 def test_release_deletes_intermediate_tables(spark):
     from cairn.llm import _shared
 
     table = _shared.stored(spark.range(3).toDF("id"))
-    assert table.count() == 3 and _shared.release(spark) >= 1 and not _shared._MADE
+    other = _shared.stored(spark.range(4).toDF("id"))
+    assert table.count() == 3 and _shared.release(spark, other.filter("id > 1")) == 1 and table.count() == 3
+    assert _shared.release(spark) >= 1 and not _shared._MADE
     with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST|PATH_NOT_FOUND|No such file"):
         spark.read.parquet(table.inputFiles()[0]).count()
