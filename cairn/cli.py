@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formats
-from .operators import inventory, rendering
+from .operators import inventory, rendering, sampling
 from .plans import assess
 from .session import builder
 from .sources import optional, parquet_footer, store_layout
@@ -32,6 +32,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def keyed(files: DataFrame, path: str) -> DataFrame:
+    """``files`` of a store with ``asset_id`` and their ``key`` below the store's root."""
+    root = "/" + path.split("://")[-1].strip("/")
+    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    return files.withColumn("asset_id", F.lit(root.rsplit("/", 1)[-1])).withColumn("key", F.substring(plain, len(root) + 2, 1 << 30))
+
+
 def load(spark: SparkSession, path: str, fmt: str) -> tuple[DataFrame, DataFrame]:
     """(assets, variables) of a path in one format."""
     from .schema import ASSETS, VARIABLES, conform
@@ -40,10 +47,11 @@ def load(spark: SparkSession, path: str, fmt: str) -> tuple[DataFrame, DataFrame
         rows = parquet_footer.footers(spark, path)
         return parquet_footer.assets(rows), parquet_footer.variables(rows)
     if fmt in ("zarr", "icechunk"):
-        documents = store_layout.read_documents(spark, path).select(F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("asset_id"), F.substring_index("path", "/", -1).alias("key"), "path", "document")
-        root = documents.filter(F.length(F.regexp_replace("path", "^[a-z0-9]+:/*", "/")) - F.length("key") - 1 == F.length(F.lit("/" + path.split("://")[-1].strip("/"))))
-        found = store_layout.sniff_store(root.select("asset_id", "key", "document")).join(store_layout.root_attributes(root), "asset_id", "left")
-        return conform(found.withColumn("smoke_status", F.lit("pass")), ASSETS), store_layout.zarr_variables(root)
+        documents = keyed(store_layout.read_documents(spark, path), path).select("asset_id", "key", "document")
+        root = documents.filter(~F.contains("key", F.lit("/")))
+        names = keyed(store_layout.list_keys(spark, path), path).select("asset_id", F.substring_index("key", "/", 1).alias("key"), F.lit(None).cast("string").alias("document")).filter(F.col("key").isin("refs", "snapshots", "manifests")).distinct()
+        found = store_layout.sniff_store(root.union(names)).join(store_layout.root_attributes(root), "asset_id", "left")
+        return conform(found.withColumn("smoke_status", F.lit("pass")), ASSETS), store_layout.zarr_variables(documents)
     if fmt in optional.READERS:
         one = spark.createDataFrame([(path.rsplit("/", 1)[-1], path, fmt)], "asset_id string, path string, format string")
         rows = optional.open_assets(one)
@@ -60,6 +68,11 @@ def sniff(spark: SparkSession, path: str) -> str:
     keys = store_layout.read_documents(spark, path) if not path.endswith(".parquet") else None
     if keys is not None and not keys.limit(1).isEmpty():
         return "zarr"
+    if keys is not None:
+        names = keyed(store_layout.list_keys(spark, path), path).select("asset_id", F.substring_index("key", "/", 1).alias("key"), F.lit(None).cast("string").alias("document"))
+        store = store_layout.sniff_store(names.filter(F.col("key").isin(*store_layout.META_KEYS)).distinct()).first()
+        if store is not None and store["format"] != "unknown":
+            return store["format"]
     head = heads.heads(spark, path).select(formats.sniff_bytes(F.col("head")).alias("f"), formats.ext_hint(F.col("path")).alias("e")).first()
     if head is None:
         return "unknown"
@@ -90,7 +103,8 @@ def main(argv: list[str] | None = None) -> int:
         if missing:
             print(f"no variable matches {', '.join(missing)}", file=sys.stderr)
             return 4
-    found = assess.assess(assets, variables, tokens=tokens, every=every, use_case=args.use_case)
+    measured = sampling.sample_listed(variables, keyed(store_layout.list_keys(spark, args.path), args.path)) if fmt == "zarr" else None
+    found = assess.assess(assets, variables, measured=measured, tokens=tokens, every=every, use_case=args.use_case)
     reports = rendering.render(found.scores, found.checks, assets, found.assessed, found.inspected, profile=args.profile, style=args.style)
     if args.out:
         rendering.write_reports(reports, f"{args.out}/reports")

@@ -14,6 +14,31 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def half_even(x: Column, places: int) -> Column:
+    """``x`` rounded to ``places`` as its binary value lies: only exact ties go to the even digit.
+
+    The product with the power of ten is taken with its error (the factors split into halves
+    of 26 bits), so what lies just below or above a tie is not taken for one.
+    """
+    scale = float(10**places)
+    high = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    low = scale - high
+
+    def rounded(v: Column) -> Column:
+        y = v * F.lit(scale)
+        c = v * F.lit(134217729.0)
+        top = c - (c - v)
+        rest = v - top
+        error = ((top * F.lit(high) - y) + top * F.lit(low) + rest * F.lit(high)) + rest * F.lit(low)
+        whole = F.floor(y).cast("double")
+        part = y - whole
+        odd = whole - F.lit(2.0) * F.floor(whole / F.lit(2.0)).cast("double")
+        up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (odd == 1))))
+        return F.when(F.abs(y) >= F.lit(2.0**52), v).otherwise((whole + up.cast("double")) / F.lit(scale))
+
+    return let(x.cast("double"), rounded)
+
+
 def product(values: Column) -> Column:
     return F.aggregate(values, F.lit(1).cast("bigint"), lambda a, x: a * x)
 
@@ -29,7 +54,7 @@ def itemsize(dtype: Column) -> Column:
 
 
 def estimate_mb(chunks: Column, dtype: Column, ratio: float = fixed.ASSUMED_RATIO) -> Column:
-    """MB of one chunk at the assumed compression ratio, to three places; null without chunks."""
+    """MB of one chunk at the assumed compression ratio, to three places, exact ties away from zero; null without chunks."""
     value = F.round(product(chunks) * itemsize(dtype) / F.lit(ratio) / F.lit(float(fixed.MIB)), 3)
     return F.when(F.size(chunks) > 0, value)
 
@@ -138,7 +163,7 @@ def _read(touched: Column, mb: Column, needed: Column, target: str, use_case: st
         moved = x["touched"] * x["mb"] * F.lit(float(fixed.MIB))
         ratio = F.try_divide(moved, x["needed"])
         return F.struct(
-            x["touched"].alias("chunks_touched"), F.round(moved, 1).alias("bytes_transferred"), F.round(x["needed"].cast("double"), 1).alias("bytes_needed"), F.round(ratio, 2).alias("amplification"),
+            x["touched"].alias("chunks_touched"), half_even(moved, 1).alias("bytes_transferred"), half_even(x["needed"], 1).alias("bytes_needed"), half_even(ratio, 2).alias("amplification"),
             (grade_amplification(ratio) if use_case == target else F.lit(None).cast("string")).alias("grade"),
         )
 
@@ -182,8 +207,8 @@ def orientation(dims: Column, shape: Column, chunks: Column, mb: Column | None =
         series_read = _read(F.get(a["grid"], a["time"]), a["mb"], m["length"] * a["each"], "timeseries", use_case)
         total = F.coalesce(product(a["grid"]), F.lit(1))
         scene = F.struct(
-            total.cast("bigint").alias("chunks_touched"), F.round(total * a["mb"] * F.lit(float(fixed.MIB)), 1).alias("bytes_transferred"),
-            F.round((product(shape) * a["each"]).cast("double"), 1).alias("bytes_needed"),
+            total.cast("bigint").alias("chunks_touched"), half_even(total * a["mb"] * F.lit(float(fixed.MIB)), 1).alias("bytes_transferred"),
+            half_even(product(shape) * a["each"], 1).alias("bytes_needed"),
         )
         timed = a["time"].isNotNull()
         return F.struct(kind.alias("orientation"), a["hedged"].alias("hedged"), F.when(timed, map_read).alias("map_read"), F.when(timed, series_read).alias("series_read"), F.when(~timed, scene).alias("scene_read"))

@@ -24,11 +24,13 @@ def match_variables(variables: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def unmatched_tokens(variables: DataFrame, tokens: DataFrame) -> DataFrame:
     """Tokens that fit no variable: a request with any of them is refused."""
-    v, t = variables.alias("v"), tokens.alias("t")
+    scoped = "asset_id" in tokens.columns
+    asked = tokens.select(*(["asset_id"] if scoped else []), "token").distinct()
+    # The few tokens go to the variables, not the inventory to the tokens.
+    t, v = (asked if scoped else F.broadcast(asked)).alias("t"), variables.alias("v")
     fits = token_matches(F.col("v.name"), F.col("t.token"))
-    if "asset_id" in tokens.columns:
-        fits = (F.col("v.asset_id") == F.col("t.asset_id")) & fits
-    return t.join(v, fits, "left_anti")
+    found = v.join(t, (F.col("v.asset_id") == F.col("t.asset_id")) & fits if scoped else fits).select("t.*").distinct()
+    return tokens.join(found, found.columns, "left_anti")
 
 
 def rank_variables(variables: DataFrame, most: int | None = None) -> DataFrame:

@@ -69,7 +69,8 @@ def scan_interior(candidates: DataFrame, stored: DataFrame, most: int = fixed.IN
 def size_stats(stored: DataFrame, key: list[str]) -> DataFrame:
     """Median, least and greatest MB (three places) and the number of sampled chunks by key."""
     mb = F.col("size_bytes") / F.lit(float(fixed.MIB))
-    return stored.groupBy(*key).agg(F.round(F.median(mb), 3).alias("median_mb"), F.round(F.min(mb), 3).alias("min_mb"), F.round(F.max(mb), 3).alias("max_mb"), F.count("*").alias("n_sampled"))
+    return stored.groupBy(*key).agg(F.median(mb).alias("median"), F.min(mb).alias("least"), F.max(mb).alias("most"), F.count("*").alias("n_sampled")).select(
+        *key, *[geometry.half_even(F.col(a), 3).alias(b) for a, b in (("median", "median_mb"), ("least", "min_mb"), ("most", "max_mb"))], "n_sampled")
 
 
 def parse_chunk_key(key: Column) -> Column:
@@ -79,6 +80,29 @@ def parse_chunk_key(key: Column) -> Column:
     return F.when(F.forall(parts, lambda p: p.rlike(r"^\d+$")), parts.cast("array<bigint>"))
 
 
+def listed_chunks(keys: DataFrame, variables: DataFrame) -> DataFrame:
+    """(``asset_id``, ``name``, ``idx``, ``size_bytes``) of the stored chunks in a listing (``asset_id``, ``key``, ``length``).
+
+    A key is an array's path and a chunk's place in it, ``tas/c/0/1`` or ``tas/0.1``; a chunk of an
+    array without axes is ``tas/c`` or ``tas/0``. Keys of metadata and of unknown arrays are left out.
+    """
+    path = F.regexp_extract("key", r"^(.*?)/(c(/[0-9]+)*|[0-9]+([./][0-9]+)*)$", 1)
+    rows = keys.select("asset_id", F.concat(F.lit("/"), F.regexp_replace(path, "^/+", "")).alias("name"), F.expr("substring(key, length(regexp_extract(key, '^(.*?)/(c(/[0-9]+)*|[0-9]+([./][0-9]+)*)$', 1)) + 2)").alias("place"), F.col("length").alias("size_bytes"))
+    rows = rows.filter("place <> '' AND name <> '/'").withColumn("idx", parse_chunk_key(F.col("place")))
+    return rows.filter("idx IS NOT NULL").join(variables.select("asset_id", "name").distinct(), ["asset_id", "name"], "left_semi").select("asset_id", "name", "idx", "size_bytes")
+
+
+def sample_listed(variables: DataFrame, keys: DataFrame, most: int = fixed.INTERIOR_SAMPLES) -> DataFrame:
+    """Sizes of each variable's stored chunks nearest to the centre, as ``assess_chunking`` takes them: no chunk is read.
+
+    One row (``asset_id``, ``name``, ``median_mb``, ``min_mb``, ``max_mb``, ``n_sampled``) for each variable that has a
+    stored chunk with bytes among its candidates; fill chunks are as a rule not stored.
+    """
+    near = interior_chunks(variables).join(listed_chunks(keys, variables).filter("size_bytes > 0"), ["asset_id", "name", "idx"])
+    order = Window.partitionBy("asset_id", "name").orderBy("rank", "size_bytes")
+    return size_stats(near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most), ["asset_id", "name"])
+
+
 def assess_chunking(variables: DataFrame, measured: DataFrame | None = None, use_case: str | None = None) -> DataFrame:
     """Each variable with MB (measured before estimated), grade, orientation, profiles and notes.
 

@@ -256,7 +256,7 @@ def checks(fact_rows: DataFrame) -> DataFrame:
     """
     by_points = ("A-class", "B4-catalog")  # their status follows from their points
     built = [class_check(), *locality_checks(), *chunk_checks(), *access_checks(), *reproducibility_checks()]
-    points = lambda c: F.round(c.awarded.cast("double"), 1)
+    points = lambda c: geometry.half_even(c.awarded, 1)
     rows = fact_rows.withColumns({f"p_{c.cid}": points(c) for c in built if c.cid in by_points})
     rows = rows.withColumns({f"s_{c.cid}": c.status.cast("string") for c in built if c.cid != "C3-agentic"})
     rows = rows.withColumns({f"s_{c.cid}": c.status.cast("string") for c in built if c.cid == "C3-agentic"})
@@ -285,7 +285,7 @@ def dimension_scores(check_rows: DataFrame) -> DataFrame:
     counted = check_rows.filter("status <> 'n/a'").groupBy("asset_id", "dimension").agg(F.sum("points_awarded").alias("got"), F.sum("points_possible").alias("possible"))
     weights = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(float(w)).alias("weight")) for d, w, _ in fixed.DIMENSIONS])
     every = check_rows.select("asset_id").distinct().select("asset_id", F.inline(weights))
-    return every.join(counted, ["asset_id", "dimension"], "left").select("asset_id", "dimension", "weight", F.round(F.coalesce(F.try_divide("got", "possible") * F.col("weight"), F.lit(0.0)), 1).alias("score"))
+    return every.join(counted, ["asset_id", "dimension"], "left").select("asset_id", "dimension", "weight", geometry.half_even(F.coalesce(F.try_divide("got", "possible") * F.col("weight"), F.lit(0.0)), 1).alias("score"))
 
 
 def score(check_rows: DataFrame) -> DataFrame:
@@ -294,13 +294,14 @@ def score(check_rows: DataFrame) -> DataFrame:
     for d, w, _ in fixed.DIMENSIONS:
         own = (F.col("dimension") == d) & (F.col("status") != "n/a")
         got, possible = F.sum(F.when(own, F.col("points_awarded"))), F.sum(F.when(own, F.col("points_possible")))
-        scaled.append(F.round(F.coalesce(F.try_divide(got, possible) * F.lit(float(w)), F.lit(0.0)), 1).alias(f"dim_{d.lower()}"))
+        scaled.append(F.coalesce(F.try_divide(got, possible) * F.lit(float(w)), F.lit(0.0)).alias(f"dim_{d.lower()}"))
     blocking = F.col("id").isin(*fixed.CONSUMER_VISIBLE) & (F.col("status") == "fail")
     one = check_rows.groupBy("asset_id").agg(
         *scaled, F.first("smoke_status").alias("smoke"), F.count_if(F.col("status") == "skipped").alias("n_skipped"), F.count_if(F.col("status").isin("partial", "fail")).alias("n_gaps"),
         F.transform(F.array_sort(F.collect_list(F.when(blocking, F.struct("seq", "id")))), lambda x: x["id"]).alias("blocking"),
     )
-    raw = F.round(reduce(lambda a, b: a + b, [F.col(f"dim_{d.lower()}") for d, _, _ in fixed.DIMENSIONS]), 1)
+    one = one.withColumns({f"dim_{d.lower()}": geometry.half_even(F.col(f"dim_{d.lower()}"), 1) for d, _, _ in fixed.DIMENSIONS})
+    raw = geometry.half_even(reduce(lambda a, b: a + b, [F.col(f"dim_{d.lower()}") for d, _, _ in fixed.DIMENSIONS]), 1)
     smoke, blocked = F.coalesce(F.col("smoke") == "fail", F.lit(False)), F.size("blocking") > 0
     one = one.withColumn("raw_score", raw).withColumn("score", F.when((smoke | blocked) & (F.col("raw_score") > fixed.CAP), fixed.CAP).otherwise(F.col("raw_score")))
     over = F.col("raw_score") > fixed.CAP

@@ -29,7 +29,7 @@ def _row(asset: str, status: str, reason: str | None = None, **more) -> dict:
 
 
 def hdf5_rows(asset: str, path: str, most: int = fixed.MAX_OBJECTS) -> Iterator[dict]:
-    """A breadth-first walk over at most ``most`` objects, groups of metadata first."""
+    """A breadth-first walk over at most ``most`` objects, groups of metadata first; a walk that ends early says so in a row ``capped``."""
     try:
         import h5py
     except ImportError:
@@ -38,9 +38,12 @@ def hdf5_rows(asset: str, path: str, most: int = fixed.MAX_OBJECTS) -> Iterator[
     try:
         with h5py.File(path, "r") as h:
             waiting, seen, n = deque([h]), 0, 0
-            while waiting and seen < most:
+            while waiting:
                 group = waiting.popleft()
                 for _, item in sorted(group.items(), key=lambda kv: kv[0].lower() not in ("identification", "metadata")):
+                    if seen == most:
+                        yield _row(asset, "capped", f"the walk ended after {most} objects; the inventory is not complete")
+                        return
                     seen += 1
                     if hasattr(item, "shape"):
                         attrs = [(k, str(v)) for k, v in list(item.attrs.items())[: fixed.MAX_ATTRS]]

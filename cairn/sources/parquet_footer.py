@@ -63,11 +63,19 @@ def _filesystem(path: str):
 
 
 def list_files(path: str) -> list[tuple[str, str]]:
-    """(asset, file) of every Parquet file at a file, folder or ``*.parquet`` pattern in a folder."""
+    """(asset, file) of every Parquet file at a file or folder, or of what a pattern (``*``, ``?``, ``[..]`` in any part) matches.
+
+    An asset is a file, or a folder named ``*.parquet`` or matched by the pattern. Files of a folder
+    count if they end in ``.parquet``; those that a pattern names count whatever their ending.
+    """
+    from fnmatch import fnmatchcase
+
     from pyarrow import fs
 
-    head, _, last = path.rpartition("/")
-    root = head if "*" in last else path
+    parts = path.rstrip("/").split("/")
+    wild = next((i for i, p in enumerate(parts) if any(c in p for c in "*?[")), len(parts))
+    root = "/".join(parts[:wild]) or ("/" if path.startswith("/") else ".")
+    pattern = parts[wild:]
     store, inner = _filesystem(root)
     prefix = root[: len(root) - len(inner)] if root.endswith(inner) else ""
     info = store.get_file_info(inner)
@@ -75,10 +83,15 @@ def list_files(path: str) -> list[tuple[str, str]]:
         return [(os.path.basename(inner), prefix + inner)]
     out = []
     for f in store.get_file_info(fs.FileSelector(inner, recursive=True)):
-        if f.type == fs.FileType.File and f.path.endswith(".parquet"):
-            rel = f.path[len(inner) :].strip("/")
-            top = rel.split("/")[0]
-            out.append((top if top.endswith(".parquet") else os.path.basename(inner), prefix + f.path))
+        if f.type != fs.FileType.File:
+            continue
+        rel = f.path[len(inner.rstrip("/")) :].strip("/").split("/")
+        if len(rel) < len(pattern) or not all(fnmatchcase(r, p) for r, p in zip(rel, pattern, strict=False)):
+            continue
+        named = pattern and len(rel) == len(pattern)
+        if named or f.path.endswith(".parquet"):
+            top = rel[len(pattern) - 1] if pattern else rel[0] if rel[0].endswith(".parquet") else os.path.basename(inner)
+            out.append((top, prefix + f.path))
     return sorted(out)
 
 
@@ -111,7 +124,7 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
 def variables(rows: DataFrame) -> DataFrame:
     """The inventory: one row per asset and leaf column, sizes added over files and row groups."""
     out = rows.groupBy("asset_id", "name").agg(
-        F.min("ordinal").cast("bigint").alias("ordinal"), F.first("dtype").alias("dtype"), F.sum("num_rows").alias("n_rows"),
+        F.min("ordinal").cast("bigint").alias("ordinal"), F.min_by("dtype", F.struct("file", "row_group")).alias("dtype"), F.sum("num_rows").alias("n_rows"),
         F.sum("total_compressed_size").alias("size_bytes"), F.min_by("codec", F.struct("file", "row_group")).alias("codec"),
     )
     return out.select(
@@ -121,8 +134,8 @@ def variables(rows: DataFrame) -> DataFrame:
 
 
 def assets(rows: DataFrame) -> DataFrame:
-    """One row per asset: format, and one request for each footer."""
+    """One row per asset: format, and one request and the bytes of each footer."""
     from ..schema import ASSETS, conform
 
-    out = rows.groupBy("asset_id").agg(F.countDistinct("file").alias("requests_to_open"), F.first("footer_bytes").alias("bytes_to_open"))
+    out = rows.groupBy("asset_id").agg(F.countDistinct("file").alias("requests_to_open"), F.sum(F.when((F.col("row_group") == 0) & (F.col("ordinal") == 0), F.col("footer_bytes"))).alias("bytes_to_open"))
     return conform(out.withColumn("format", F.lit("parquet")).withColumn("smoke_status", F.lit("pass")), ASSETS)

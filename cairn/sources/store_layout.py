@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .heads import heads
+
 META_KEYS = ("zarr.json", ".zmetadata", ".zgroup", ".zarray", ".zattrs", "refs", "snapshots", "manifests")
 
 
@@ -15,8 +17,8 @@ def list_keys(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """(``path``, ``document``) of the metadata documents below ``root``."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{zarr.json,.zmetadata,.zgroup,.zarray,.zattrs}").load(root)
-    return rows.select("path", F.decode("content", "UTF-8").alias("document"))
+    rows = heads(spark, root, names="zarr.json,.zmetadata,.zgroup,.zarray,.zattrs", bytes="0")
+    return rows.select("path", F.decode("head", "UTF-8").alias("document"))
 
 
 def sniff_store(keys: DataFrame) -> DataFrame:
@@ -49,14 +51,21 @@ def _codec_v3(node: Column) -> Column:
 
 
 def zarr_variables(documents: DataFrame) -> DataFrame:
-    """The inventory of Zarr stores from their consolidated documents (``asset_id``, ``key``, ``document``).
+    """The inventory of Zarr stores from their documents (``asset_id``, ``key``, ``document``).
 
-    Reads ``zarr.json`` (keys with or without ``/zarr.json`` at the end) and ``.zmetadata``. Array
-    shapes, dtypes, chunks, codecs, dimension names and attributes come from JSON alone.
+    Reads the consolidated metadata of ``zarr.json`` (keys with or without ``/zarr.json`` at the end) and of
+    ``.zmetadata``. Stores without it are read document by document: ``a/b/zarr.json``, or ``a/b/.zarray`` with
+    ``a/b/.zattrs``, in the order of their paths. Array shapes, dtypes, chunks, codecs, dimension names and
+    attributes come from JSON alone.
     """
+    merged = F.get_json_object("document", "$.consolidated_metadata.metadata")
+    whole = documents.groupBy("asset_id").agg(F.bool_or((F.col("key") == ".zmetadata") | ((F.col("key") == "zarr.json") & merged.isNotNull())).alias("whole"))
+    loose = documents.join(whole.filter("NOT whole"), "asset_id", "left_semi")
+    place = Window.partitionBy("asset_id").orderBy("key")
     v3 = documents.filter("key = 'zarr.json'").select("asset_id", F.from_json(F.get_json_object("document", "$.consolidated_metadata.metadata"), f"map<string,{NODE}>").alias("m"))
     v3 = v3.select("asset_id", F.posexplode(F.map_entries("m")).alias("ordinal", "e")).select("asset_id", "ordinal", F.col("e.key").alias("key"), F.col("e.value").alias("node"))
-    v3 = v3.filter("node.node_type = 'array'")
+    single = loose.filter("key LIKE '%/zarr.json' OR key = 'zarr.json'").select("asset_id", "key", F.from_json("document", NODE).alias("node")).filter("node.node_type = 'array'")
+    v3 = v3.filter("node.node_type = 'array'").union(single.select("asset_id", F.row_number().over(place) - 1, "key", "node"))
     n = F.col("node")
     one = v3.select(
         "asset_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.concat(F.lit("/"), F.regexp_replace("key", "(^/+)|(/?zarr\\.json$)", "")).alias("name"),
@@ -66,6 +75,8 @@ def zarr_variables(documents: DataFrame) -> DataFrame:
     )
     v2 = documents.filter("key = '.zmetadata'").select("asset_id", F.posexplode(F.map_entries(F.from_json(F.get_json_object("document", "$.metadata"), "map<string,string>"))).alias("ordinal", "e"))
     parts = v2.select("asset_id", "ordinal", F.regexp_extract("e.key", r"^(.*)/(\.zarray|\.zattrs)$", 1).alias("path"), F.regexp_extract("e.key", r"(\.zarray|\.zattrs)$", 1).alias("kind"), F.col("e.value").alias("text")).filter("path <> ''")
+    split = loose.filter("key LIKE '%/.zarray' OR key LIKE '%/.zattrs'").select("asset_id", (F.row_number().over(place) - 1).alias("ordinal"), "key", "document")
+    parts = parts.union(split.select("asset_id", "ordinal", F.regexp_extract("key", r"^(.*)/(\.zarray|\.zattrs)$", 1), F.regexp_extract("key", r"(\.zarray|\.zattrs)$", 1), "document"))
     both = parts.groupBy("asset_id", "path").agg(F.min("ordinal").alias("ordinal"), F.max(F.when(F.col("kind") == ".zarray", F.col("text"))).alias("a"), F.max(F.when(F.col("kind") == ".zattrs", F.col("text"))).alias("t"))
     both = both.filter("a IS NOT NULL").withColumn("node", F.from_json("a", ARRAY_V2)).withColumn("attrs", F.coalesce(F.from_json("t", "map<string,string>"), F.create_map().cast("map<string,string>")))
     named = F.from_json(F.col("attrs")["_ARRAY_DIMENSIONS"], "array<string>")

@@ -2,14 +2,18 @@
 
 import json
 import os
+import sys
+import types
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from cairn import cli
-from cairn.functions import formats
+from cairn.functions import fixed, formats, geometry
+from cairn.operators import sampling, scoring
 from cairn.sources import heads, optional, parquet_footer, store_layout
 from cairn.streaming import telemetry as streaming
 
@@ -107,3 +111,100 @@ def test_streams(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == whole.count()
+
+
+def test_footer_patterns(spark, parquet_folder):
+    names = lambda p: {r.asset_id for r in parquet_footer.footers(spark, f"{parquet_folder}/{p}").select("asset_id").distinct().collect()}
+    assert names("o*.parquet") == {"one.parquet"} and names("m*.parquet") == {"many.parquet"} and names("*.parquet") == {"one.parquet", "many.parquet"}
+    assert names("many.parquet/p[01].parquet") == {"p0.parquet", "p1.parquet"} and names("ma*/p?.parquet") == {"p0.parquet", "p1.parquet", "p2.parquet"}
+    assert names("none*.parquet") == set()
+    found = {r.asset_id: r.bytes_to_open for r in parquet_footer.assets(parquet_footer.footers(spark, parquet_folder)).collect()}
+    sizes = [pq.read_metadata(f"{parquet_folder}/many.parquet/p{i}.parquet").serialized_size for i in range(3)]
+    assert found["many.parquet"] == sum(sizes)
+
+
+ARRAY3 = {"node_type": "array", "shape": [40, 40], "data_type": "float32", "chunk_grid": {"configuration": {"chunk_shape": [10, 10]}}, "codecs": [{"name": "bytes"}, {"name": "zstd"}], "attributes": {}}
+ARRAY2 = {"shape": [40, 40], "chunks": [10, 10], "dtype": "<f4", "compressor": {"id": "zlib"}}
+
+
+def write_store(root, version):
+    """A store without consolidated metadata; only the four chunks around the centre and one corner are stored."""
+    (root / "g" / "x").mkdir(parents=True)
+    for i, (a, b) in enumerate([(1, 1), (1, 2), (2, 1), (2, 2), (0, 0)]):
+        chunk = root / "g" / "x" / ("c" if version == 3 else "") / (f"{a}/{b}" if version == 3 else f"{a}.{b}")
+        chunk.parent.mkdir(parents=True, exist_ok=True)
+        chunk.write_bytes(b"\1" * ((i + 1) << 20))
+    if version == 3:
+        (root / "zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {"Conventions": "CF-1.8"}}))
+        (root / "g" / "zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "group"}))
+        (root / "g" / "x" / "zarr.json").write_text(json.dumps(ARRAY3))
+    else:
+        (root / ".zgroup").write_text("{}")
+        (root / "g" / "x" / ".zarray").write_text(json.dumps(ARRAY2))
+        (root / "g" / "x" / ".zattrs").write_text(json.dumps({"_ARRAY_DIMENSIONS": ["y", "x"], "units": "K"}))
+
+
+@pytest.mark.parametrize("version", [2, 3])
+def test_unconsolidated_stores_and_measured_chunks(spark, tmp_path, version, capsys):
+    root = tmp_path / "store.zarr"
+    write_store(root, version)
+    assets, variables = cli.load(spark, str(root), "zarr")
+    one = variables.collect()
+    assert [(r.asset_id, r.name, r.shape, r.chunks) for r in one] == [("store.zarr", "/g/x", [40, 40], [10, 10])]
+    assert one[0].dims == (["y", "x"] if version == 2 else [])
+    assert assets.first().format == "zarr" and not assets.first().consolidated
+    keys = cli.keyed(store_layout.list_keys(spark, str(root)), str(root))
+    got = sampling.sample_listed(variables, keys).collect()
+    # The corner is a candidate too: the five stored chunks in the order of their distance.
+    assert [(r.name, r.median_mb, r.min_mb, r.max_mb, r.n_sampled) for r in got] == [("/g/x", 3.0, 1.0, 5.0, 5)]
+    assert sampling.sample_listed(variables, keys, most=1).first().median_mb == 4.0  # the chunk (2, 2) is the centre
+    assessed = sampling.assess_chunking(variables, sampling.sample_listed(variables, keys)).first()
+    assert (assessed.mb, assessed.measured, assessed.grade) == (3.0, True, "warn")
+    assert cli.sniff(spark, str(root)) == "zarr" and cli.main([str(root)]) == 0 and "store.zarr" in capsys.readouterr().out
+
+
+def test_bare_icechunk_is_sniffed(spark, tmp_path):
+    root = tmp_path / "ice"
+    for folder in ("refs", "snapshots"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "a").write_bytes(b"x")
+    assert cli.sniff(spark, str(root)) == "icechunk"
+
+
+def test_a_walk_that_ends_early_says_so(monkeypatch, tmp_path):
+    class Item:
+        def __init__(self, name, items=None):
+            self.name, self.items_, self.attrs = name, items, {}
+            if items is None:
+                self.shape, self.dtype, self.ndim, self.size, self.chunks, self.compression, self.shuffle = (2,), np.dtype("f4"), 1, 2, None, None, False
+
+        def items(self):
+            return self.items_.items()
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+    flat = Item("/", {f"v{i}": Item(f"/v{i}") for i in range(7)})
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=lambda *_: flat))
+    assert [r["status"] for r in optional.hdf5_rows("a", "x", most=5)] == ["ok"] * 5 + ["capped"]
+    assert [r["status"] for r in optional.hdf5_rows("a", "x", most=7)] == ["ok"] * 7
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    rng = np.random.default_rng(0)
+    values = [11.25, 11.35, 0.0625, 2.675, 0.5, 1.5, 2.5, -0.25, -11.25, 0.0, 1e300, 12345678.0005, 0.15, 0.45, *(rng.integers(0, 10**6, 3000) / 2000).tolist(), *(rng.integers(0, 2**16, 3000) / 256).tolist(), *rng.normal(0, 50, 1000).tolist()]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (1, 2, 3):
+        got = [r.y for r in frame.select(F.col("x"), geometry.half_even(F.col("x"), places).alias("y")).collect()]
+        assert got == [round(v, places) for v in values]
+
+
+def test_scores_round_to_even(spark):
+    rows = [("a", "B", "ok", float(p), 9.0 if p == 16 else 0.0, "partial", "x", i) for i, p in enumerate([16])]
+    frame = spark.createDataFrame(rows, "asset_id string, dimension string, smoke_status string, points_possible double, points_awarded double, status string, id string, seq int")
+    weight = {d: w for d, w, _ in fixed.DIMENSIONS}["B"]
+    got = {r.dimension: r.score for r in scoring.dimension_scores(frame).collect()}
+    assert got["B"] == round(9 / 16 * weight, 1) and scoring.score(frame).first()["dim_b"] == got["B"]
