@@ -19,15 +19,15 @@ CLOUD_NATIVE = ("cog", "zarr", "icechunk", "parquet", "copc", "flatgeobuf", "pmt
 CLOUD_OPTIMIZABLE = ("hdf5", "netcdf4", "las", "kerchunk")
 CLOUD_HOSTILE = ("netcdf3", "grib2", "shapefile", "csv", "zip", "tar", "gzip", "hdf4")
 
-#: Leading bytes (hexadecimal) and format, in the order in which they are tried.
-MAGIC_FIRST = (("894844460D0A1A0A", "hdf5"), ("43444601", "netcdf3"), ("43444602", "netcdf3"), ("43444605", "netcdf3"), ("0E031301", "hdf4"))
-HDF5_MAGIC, HDF5_LATER_OFFSETS = "894844460D0A1A0A", (512, 1024, 2048, 4096)
+#: Leading bytes and format, in the order in which they are tried: fixed values of the formats.
+MAGIC_FIRST = ((b"\x89HDF\r\n\x1a\n", "hdf5"), (b"CDF\x01", "netcdf3"), (b"CDF\x02", "netcdf3"), (b"CDF\x05", "netcdf3"), (b"\x0e\x03\x13\x01", "hdf4"))
+HDF5_MAGIC, HDF5_LATER_OFFSETS = b"\x89HDF\r\n\x1a\n", (512, 1024, 2048, 4096)
 MAGIC_LATER = (
-    ("50415231", "parquet"),
-    ("49492A00", "cog"), ("4D4D002A", "cog"), ("49492B00", "cog"), ("4D4D002B", "cog"),
-    ("47524942", "grib2"), ("666762", "flatgeobuf"), ("4C415346", "las"), ("504D54696C6573", "pmtiles"), ("504B0304", "zip"), ("1F8B", "gzip"),
+    (b"PAR1", "parquet"),
+    (b"II*\x00", "cog"), (b"MM\x00*", "cog"), (b"II+\x00", "cog"), (b"MM\x00+", "cog"),
+    (b"GRIB", "grib2"), (b"fgb", "flatgeobuf"), (b"LASF", "las"), (b"PMTiles", "pmtiles"), (b"PK\x03\x04", "zip"), (b"\x1f\x8b", "gzip"),
 )
-TAR_MAGIC, TAR_OFFSET, SHAPEFILE_MAGIC = "7573746172", 257, "0000270A"
+TAR_MAGIC, TAR_OFFSET, SHAPEFILE_MAGIC = b"ustar", 257, b"\x00\x00\x27\x0a"
 HEAD_BYTES = 16 * 1024
 
 # --- variable names
@@ -99,8 +99,9 @@ MAX_CHUNKS = 1_000_000
 FRONT_LOADED = ("cog", "parquet", "pmtiles", "flatgeobuf", "copc")
 STATUS_LABELS = {"pass": "PASS", "partial": "WARN", "fail": "FAIL", "skipped": "SKIPPED", "n/a": "N-A"}
 STATUS_MARKS = {"pass": "\u2705", "partial": "\u26a0\ufe0f", "fail": "\u274c", "skipped": "\u2754"}
+#: Ways of use, the check that judges each, the advice of the report, and the reads it should take.
 PROFILE_ROWS = (
-    ("Interactive / visualization", "C1-interactive", "~1-4 MB chunks/tiles + overviews", "one viewport tile: 1"),
-    ("AI training (throughput)", "C2-training", "10-100 MB (sweet spot 32-64 MB) chunks/shards, shape aligned with sampling", "one ~64 MB batch: 1-2"),
-    ("AI agentic", "C3-agentic", "1-16 MB chunks; schema in ONE request; stable HTTPS URLs", "catalog -> variables -> subset: <=3"),
+    ("Interactive / visualization", "C1-interactive", "chunks or tiles of 1 to 4 MB, with overviews", "1 for a tile on screen"),
+    ("AI training (throughput)", "C2-training", "chunks or shards of 10 to 100 MB, best 32 to 64, cut like the samples", "1 or 2 for a batch of 64 MB"),
+    ("AI agentic", "C3-agentic", "chunks of 1 to 16 MB, the schema in one read, addresses that stay", "3 at most from catalogue to subset"),
 )

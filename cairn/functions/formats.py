@@ -29,8 +29,8 @@ def ext_hint(text: Column) -> Column:
     return reduce(lambda case, e: case.when(F.endswith(low, F.lit(e[0])), F.lit(e[1])), longest, F.when(F.lit(False), F.lit(""))).otherwise(F.lit(None))
 
 
-def _at(data: Column, magic: str, offset: int = 0) -> Column:
-    return F.substring(data, offset + 1, len(magic) // 2) == F.unhex(F.lit(magic))
+def _at(data: Column, magic: bytes, offset: int = 0) -> Column:
+    return F.substring(data, offset + 1, len(magic)) == F.lit(magic)
 
 
 def sniff_bytes(head: Column) -> Column:

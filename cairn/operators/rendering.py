@@ -73,7 +73,7 @@ def smoke_block(smoke: DataFrame) -> DataFrame:
     cells = ["status", "requests_to_open", "bytes_to_open", ("time_to_open_s", " s"), ("ttfb_s", " s"), ("throughput_mbps", " MB/s"), "total_bytes"]
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *[text(*c) if isinstance(c, tuple) else text(c) for c in cells]), F.lit(" |"))
     head = F.lit("| Status | Requests-to-open | Bytes-to-open | Time-to-open | Subset TTFB | Throughput | Total bytes |\n" + "|" + "---|" * 7 + "\n")
-    skipped = F.when(F.col("status") == "skipped", F.concat(F.lit("\n\n> **Smoke test skipped, confidence: reduced.** Reason: "), F.coalesce("reason", F.lit("unknown")))).otherwise("")
+    skipped = F.when(F.col("status") == "skipped", F.concat(F.lit("\n\n> **No trial read was made, so confidence is reduced.** Reason: "), F.coalesce("reason", F.lit("unknown")))).otherwise("")
     return smoke.select("asset_id", F.concat(head, row, skipped).alias("smoked"))
 
 
@@ -131,7 +131,7 @@ def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: Da
     blocks.append(section("Prioritized remediation", F.coalesce("remedies", F.lit("No check failed; nothing to remedy."))))
     if scored:
         shown = F.concat(F.lit("```json\n"), F.substring("frame", 1, 3000), F.lit("\n```"))
-        blocks.append(section("Sample frame (reproducibility)", F.coalesce(shown, F.lit(f"_not assessed {DASH} no sample frame was recorded for this run._"))))
+        blocks.append(section("Sample frame (reproducibility)", F.coalesce(shown, F.lit(f"_not assessed {DASH} this run kept no sample frame._"))))
     return out.select("asset_id", F.concat_ws("\n\n", *blocks).alias("report"))
 
 

@@ -80,10 +80,10 @@ def format_class_counts(spark, sf_dir):
 @query(sql.SNIFF_MAGIC)
 def sniff_magic(spark, sf_dir):
     docs = frames.table(spark, sf_dir, "documents")
-    magic = ["894844460D0A1A0A", "43444602", "0E031301", "7B", "7B2272656673223A", "50415231", "49492A00", "47524942", "666762", "4C415346", "504D54696C6573", "504B0304", "1F8B", "0000270A", ""]
+    magic = [b"\x89HDF\r\n\x1a\n", b"CDF\x02", b"\x0e\x03\x13\x01", b"{", b'{"refs":', b"PAR1", b"II*\x00", b"GRIB", b"fgb", b"LASF", b"PMTiles", b"PK\x03\x04", b"\x1f\x8b", b"\x00\x00\x27\x0a", b""]
     chosen = F.element_at(F.array(*[F.lit(m) for m in magic]), (F.col("doc_id") % len(magic) + 1).cast("int"))
     pad = F.when(F.col("doc_id") % 31 == 30, F.lit(512)).otherwise(0)
-    head = F.concat(F.unhex(F.repeat(F.lit("00"), pad)), F.unhex(chosen), F.substring(F.col("text").cast("binary"), 1, 600))
+    head = F.concat(F.unhex(F.repeat(F.lit("00"), pad)), chosen, F.substring(F.col("text").cast("binary"), 1, fixed.HEAD_BYTES))
     return docs.select("doc_id", formats.sniff_bytes(head).alias("format"))
 
 
