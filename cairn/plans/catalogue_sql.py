@@ -205,7 +205,7 @@ RUNNING = f"""WITH {L_SQL}, {_RUN} SELECT asset_id, seq, bytes, total_bytes, req
 
 # --- scoring over A, K and the findings made of L
 _ID = "CASE seq % 7 WHEN 0 THEN 'D1-range' WHEN 1 THEN 'D2-auth' WHEN 2 THEN 'D0' WHEN 3 THEN 'D3-https-cors' ELSE 'other' END"
-_FIND = f"""N AS (SELECT asset_id, {_ID} AS id, arg_min(CASE seq % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'partial' WHEN 2 THEN 'fail' ELSE 'skipped' END, seq) AS status, concat('e', min(seq)) AS evidence FROM L WHERE seq % 2 = 1 OR seq % 5 = 0 GROUP BY 1, 2)"""
+_FIND = f"""N AS (SELECT asset_id, {_ID} AS id, arg_min(CASE seq % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'partial' WHEN 2 THEN 'fail' ELSE 'skipped' END, seq) AS status, concat('e', min(seq)) AS evidence FROM L GROUP BY 1, 2)"""
 _MB = f"round((CASE WHEN chunks IS NOT NULL THEN chunks[1] * chunks[2] * chunks[3] ELSE shape[1] * shape[2] * shape[3] END) * ({ITEMSIZE}) / 2.0::DOUBLE / {MIB}::DOUBLE, 3)"
 _SEL = f"{ranked('K')}, X AS (SELECT asset_id, {grade(_MB)} AS grade, CASE WHEN {_MB} BETWEEN 1 AND 16 THEN 'within' ELSE 'out' END AS agentic, {COUNT} AS n_chunks, codec FROM R WHERE rank = 1)"
 _INV = "W AS (SELECT asset_id, count(chunks) AS n_chunked, coalesce(bool_or(chunks IS NOT NULL AND size_bytes / (shape[1] * shape[2] * shape[3]) * (chunks[1] * chunks[2] * chunks[3]) < 1000000), false) AS tiny, arg_min(coalesce(codec, ''), ordinal) AS codec0, bool_or(coalesce(units, standard_name, grid_mapping, bounds, coordinates, \"_FillValue\", missing_value, scale_factor) IS NOT NULL) AS any_attrs FROM K GROUP BY 1)"
