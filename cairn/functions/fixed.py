@@ -82,6 +82,7 @@ DENIAL_MARKERS = ("accessdenied", "access denied", "forbidden")
 RANGE_STATUS = {"ok": "pass", "no-range-support": "warn", "auth-required": "skipped", "not-assessable": "skipped"}
 
 # --- budgets
+PRIORITY_GROUPS = ("identification", "metadata")
 MAX_BYTES, MAX_SECONDS, MAX_OBJECTS, MAX_ATTRS = 25 * 1024 * 1024, 60, 5000, 10
 
 # --- rubric

@@ -21,6 +21,16 @@ def inspect_codecs(variables: DataFrame) -> DataFrame:
     )
 
 
+def assess_compression(variables: DataFrame, samples: DataFrame | None = None, max_abs_error: float | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(``inspect_codecs``, ``benchmark``) of the selected variables; no samples, no trials.
+
+    With ``max_abs_error`` each sample is also tried after rounding to as few mantissa bits as stay within it.
+    """
+    if samples is not None and max_abs_error is not None:
+        samples = samples.withColumn("keepbits", codecs.keepbits(F.col("values"), F.lit(max_abs_error)))
+    return inspect_codecs(variables), benchmark(samples) if samples is not None else None
+
+
 def grid() -> list[tuple[str, str, str | None, int, bool]]:
     """(config, family, cname, level, shuffle) of the ten lossless trials, in order."""
     out = []
@@ -76,15 +86,15 @@ def benchmark(samples: DataFrame, keepbits: int | None = None, min_bytes: int =
 
     ``samples`` has ``asset_id``, ``name``, ``codec`` and ``values`` (a decoded float chunk).
     Row 0 repeats the current codec; samples under ``min_bytes`` give no row. Each sample
-    is tried where it lies, one row at a time. Codecs run through Arrow, so Blosc trials
+    is tried where it lies, one row at a time. A column ``keepbits`` of the samples goes before the parameter. Codecs run through Arrow, so Blosc trials
     are its inner codec after a byte shuffle, without Blosc's blocks.
     """
     current = codecs.parse_codec(F.col("codec")).alias("now")
-    source = samples.select("asset_id", "name", "codec", current, F.col("values").cast("array<float>").alias("values"))
+    source = samples.select("asset_id", "name", "codec", current, F.col("values").cast("array<float>").alias("values"), (F.col("keepbits") if "keepbits" in samples.columns else F.lit(keepbits)).cast("int").alias("keepbits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for row in batch.to_pylist() for r in _trials(row, keepbits, min_bytes)]
+            rows = [r for row in batch.to_pylist() for r in _trials(row, row["keepbits"], min_bytes)]
             yield pa.RecordBatch.from_pylist(rows, schema=_TRIALS)
 
     return source.mapInArrow(run, "asset_id string, name string, seq int, config string, ratio double, compress_mbps double, decompress_mbps double, is_current boolean, lossy boolean, max_abs_error double, error string")

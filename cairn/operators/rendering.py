@@ -47,7 +47,9 @@ def remedy_lines(checks: DataFrame) -> DataFrame:
 
 
 def layout_lines(assessed: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("- **`"), "name", F.lit("`** ("), F.col("layout.orientation"), F.lit("): "), "prose")
+    line = F.concat(F.lit("- **`"), "name", F.lit("`** ("), F.col("layout.orientation"), F.lit("): "), F.coalesce("prose", F.lit("")))
+    if "notes" in assessed.columns:
+        line = F.concat(line, F.array_join(F.transform(F.coalesce("notes", F.array().cast("array<string>")), lambda n: F.concat(F.lit("\n  - "), n)), ""))
     return _lines(assessed, line, "ordinal", "layouts")
 
 
@@ -94,11 +96,12 @@ def _or_none(name: str, why: str) -> Column:
     return F.coalesce(F.col(name), F.lit(f"_not assessed {DASH} {why}._"))
 
 
-def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: DataFrame | None = None, inspected: DataFrame | None = None, trials: DataFrame | None = None, breaches: DataFrame | None = None, smoke: DataFrame | None = None, frames: DataFrame | None = None, profile: str | None = None, style: str = "both") -> DataFrame:
+def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: DataFrame | None = None, inspected: DataFrame | None = None, trials: DataFrame | None = None, breaches: DataFrame | None = None, smoke: DataFrame | None = None, frames: DataFrame | None = None, profile: str | None = None, style: str = "both", walks: DataFrame | None = None) -> DataFrame:
     """(``asset_id``, ``report``): Markdown in the style ``verdict``, ``score`` or ``both``.
 
     Sections without input say that they were not assessed; nothing fails for a missing part.
-    ``frames`` (``asset_id``, ``frame``) is the JSON text of what was sampled, shown up to 3,000 characters.
+    ``frames`` (``asset_id``, ``frame``) is the JSON text of what was sampled, shown up to 3,000 characters;
+    ``walks`` (``asset_id``, ``objects_visited``, ``complete``) tells how far the walk over the metadata came.
     """
     if style not in ("verdict", "score", "both"):
         raise ValueError(f"unknown style {style!r}")
@@ -107,10 +110,12 @@ def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: Da
     parts = [(criterion_lines(checks), "criteria"), (per_asset_lines(checks), "own_checks"), (remedy_lines(checks), "remedies"), (checks.groupBy("asset_id").agg(marks), "marks")]
     parts += [(f(x) if x is not None else None, n) for f, x, n in ((layout_lines, assessed, "layouts"), (codec_lines, inspected, "codecs"), (benchmark_lines, trials, "trials"), (breach_lines, breaches, "breaches"))]
     parts += [(smoke_block(smoke) if smoke is not None else None, "smoked"), (frames.select("asset_id", "frame") if frames is not None else None, "frame")]
+    walked = F.concat(F.lit("; full-metadata-walk="), F.col("objects_visited").cast("string"), F.lit(" objects (complete="), F.coalesce(F.col("complete").cast("string"), F.lit(DASH)), F.lit(")"))
+    parts.append((walks.select("asset_id", walked.alias("walked")) if walks is not None else None, "walked"))
     for frame, name in parts:
         out = out.join(frame, "asset_id", "left") if frame is not None else out.withColumn(name, F.lit(None).cast("string"))
     points = [F.concat(F.lit(f"| {d} | {what} | "), number(F.col(f"dim_{d.lower()}")), F.lit(f" | {w} |\n")) for d, w, what in fixed.DIMENSIONS]
-    opened = F.coalesce(F.concat(F.lit("requests-to-open="), F.col("requests_to_open").cast("string")), F.lit(f"not assessed {DASH} no telemetry recorded"))
+    opened = F.coalesce(F.concat(F.lit("requests-to-open="), F.col("requests_to_open").cast("string"), F.coalesce("walked", F.lit("; full-metadata-walk=not walked"))), F.lit(f"not assessed {DASH} no telemetry recorded"))
     card = F.concat(F.lit("## Scorecard\n\n| Dimension | What | Score | Max |\n|---|---|---|---|\n"), *points, F.lit("| **Total** | | **"), number(F.col("score")), F.lit("** | **100** |\n| Metadata dispersal | "), opened, F.lit(f" | {DASH} | {DASH} |"))
     line = F.concat(F.lit("**Verdict: "), "verdict", F.lit(f" {DASH} "), "verdict_reason", F.lit("**"))
     graded = F.concat(line, F.lit("\nTier "), "tier", F.lit(" · "), number(F.col("score")), F.lit("/100 · confidence "), "confidence")
@@ -127,7 +132,7 @@ def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: Da
         blocks.append(section("Per-asset findings", _table(["Check", "Dim", "Status", "Pts", "Evidence"], "own_checks")))
         blocks.append(section("Smoke-test telemetry", _or_none("smoked", "smoke test was not run for this asset")))
         blocks.append(section("Compression", F.concat(F.coalesce(_table(["Variable", "Codec", "Status", "Note"], "codecs"), F.lit("_not assessed_")), F.coalesce(F.concat(F.lit("\n\n"), _table(["Config", "Ratio", "Compress MB/s", "Decompress MB/s"], "trials")), F.lit("")))))
-        blocks.append(section("Chunking recommendations (all three profiles)", F.concat(_profile_table(), F.lit("\n\n" + (f"Primary intended profile: **{profile}**." if profile else "No primary profile was stated; the table covers all three.")))))
+        blocks.append(section("Chunking recommendations (all three profiles)", F.concat(F.lit("> A chunk is read whole or not at all: one too large is a tax on every partial read,\n> one too small on every bulk read.\n\n"), _profile_table(), F.lit("\n\n" + (f"Primary intended profile: **{profile}**." if profile else "No primary profile was stated; the table covers all three.")))))
     blocks.append(section("Prioritized remediation", F.coalesce("remedies", F.lit("No check failed; nothing to remedy."))))
     if scored:
         shown = F.concat(F.lit("```json\n"), F.substring("frame", 1, 3000), F.lit("\n```"))
@@ -135,13 +140,21 @@ def render(scores: DataFrame, checks: DataFrame, assets: DataFrame, assessed: Da
     return out.select("asset_id", F.concat_ws("\n\n", *blocks).alias("report"))
 
 
-def findings_json(scores: DataFrame, checks: DataFrame) -> DataFrame:
-    """(``asset_id``, ``findings``): one JSON document per asset, keys in alphabetic order."""
+def findings_json(scores: DataFrame, checks: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(``asset_id``, ``findings``): one JSON document per asset, keys in alphabetic order.
+
+    ``more`` has a row per asset; its other columns become further keys of the document.
+    """
     fields = ["dimension", "evidence", "id", "points_awarded", "points_possible", "remediation", "status"]
     listed = checks.groupBy("asset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("c")))), lambda x: x["c"]).alias("checks"))
     dims = F.struct(*[F.struct(F.lit(w).alias("max"), F.col(f"dim_{d.lower()}").alias("score")).alias(d) for d, w, _ in fixed.DIMENSIONS]).alias("dimensions")
-    document = F.struct("asset_id", F.col("caps").alias("caps_applied"), "checks", "confidence", dims, "score", "tier", "verdict", "verdict_reason")
-    return scores.join(listed, "asset_id").select("asset_id", F.to_json(document).alias("findings"))
+    keys = {"asset_id": F.col("asset_id"), "caps_applied": F.col("caps").alias("caps_applied"), "checks": F.col("checks"), "confidence": F.col("confidence"), "dimensions": dims, "score": F.col("score"), "tier": F.col("tier"), "verdict": F.col("verdict"), "verdict_reason": F.col("verdict_reason")}
+    rows = scores.join(listed, "asset_id")
+    if more is not None:
+        rows = rows.join(more, "asset_id", "left")
+        keys |= {n: F.col(n) for n in more.columns if n != "asset_id"}
+    document = F.struct(*[keys[n] for n in sorted(keys)])
+    return rows.select("asset_id", F.to_json(document).alias("findings"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

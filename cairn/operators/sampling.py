@@ -85,11 +85,13 @@ def listed_chunks(keys: DataFrame, variables: DataFrame) -> DataFrame:
 
     A key is an array's path and a chunk's place in it, ``tas/c/0/1`` or ``tas/0.1``; a chunk of an
     array without axes is ``tas/c`` or ``tas/0``. Keys of metadata and of unknown arrays are left out.
+    A column ``path`` of the listing is kept.
     """
+    kept = ["path"] if "path" in keys.columns else []
     path = F.regexp_extract("key", r"^(.*?)/(c(/[0-9]+)*|[0-9]+([./][0-9]+)*)$", 1)
-    rows = keys.select("asset_id", F.concat(F.lit("/"), F.regexp_replace(path, "^/+", "")).alias("name"), F.expr("substring(key, length(regexp_extract(key, '^(.*?)/(c(/[0-9]+)*|[0-9]+([./][0-9]+)*)$', 1)) + 2)").alias("place"), F.col("length").alias("size_bytes"))
+    rows = keys.select("asset_id", F.concat(F.lit("/"), F.regexp_replace(path, "^/+", "")).alias("name"), F.expr("substring(key, length(regexp_extract(key, '^(.*?)/(c(/[0-9]+)*|[0-9]+([./][0-9]+)*)$', 1)) + 2)").alias("place"), F.col("length").alias("size_bytes"), *kept)
     rows = rows.filter("place <> '' AND name <> '/'").withColumn("idx", parse_chunk_key(F.col("place")))
-    return rows.filter("idx IS NOT NULL").join(variables.select("asset_id", "name").distinct(), ["asset_id", "name"], "left_semi").select("asset_id", "name", "idx", "size_bytes")
+    return rows.filter("idx IS NOT NULL").join(variables.select("asset_id", "name").distinct(), ["asset_id", "name"], "left_semi").select("asset_id", "name", "idx", "size_bytes", *kept)
 
 
 def sample_listed(variables: DataFrame, keys: DataFrame, most: int = fixed.INTERIOR_SAMPLES) -> DataFrame:

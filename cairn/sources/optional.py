@@ -5,6 +5,7 @@ Each asset gives its inventory, or one row whose ``status`` is ``skipped`` with
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .counting import CountedFile, is_auth_error, opened
 
 SCHEMA = (
     "asset_id string, status string, reason string, ordinal bigint, name string, dims array<string>, shape array<bigint>, dtype string, "
@@ -28,32 +30,95 @@ def _row(asset: str, status: str, reason: str | None = None, **more) -> dict:
     return {n: None for n in _ARROW.names} | {"asset_id": asset, "status": status, "reason": reason} | more
 
 
-def hdf5_rows(asset: str, path: str, most: int = fixed.MAX_OBJECTS) -> Iterator[dict]:
-    """A breadth-first walk over at most ``most`` objects, groups of metadata first; a walk that ends early says so in a row ``capped``."""
+def _failure(asset: str, error: Exception) -> dict:
+    """An unreadable asset is a finding, not a failed job; one that needs a sign-in was not looked at."""
+    said = f"{type(error).__name__}: {error}"
+    return _row(asset, "skipped", f"auth: {said}") if is_auth_error(error) else _row(asset, "fail", said)
+
+
+def _walk(h, most: int, seconds: float) -> Iterator[tuple[object, str | None]]:
+    """(object, None) breadth-first, all below the groups of metadata before the rest; (number seen, cap) at the end.
+
+    The clock is read after every 25th object; the cap is ``objects``, ``time`` or null for a whole walk.
+    """
+    began, seen = time.monotonic(), 0
+    top = list(h.items())
+    first = [item for name, item in top if name.lower() in fixed.PRIORITY_GROUPS]
+    rest = [item for name, item in top if name.lower() not in fixed.PRIORITY_GROUPS]
+    for waiting in (deque(first), deque(rest)):
+        while waiting:
+            late = seen and seen % 25 == 0 and time.monotonic() - began > seconds
+            if seen == most or late:
+                yield seen, "objects" if seen == most else "time"
+                return
+            item = waiting.popleft()
+            seen += 1
+            yield item, None
+            if not hasattr(item, "shape"):
+                waiting.extend(child for _, child in item.items())
+    yield seen, "complete"
+
+
+def hdf5_rows(asset: str, source, most: int = fixed.MAX_OBJECTS, seconds: float = fixed.MAX_SECONDS, facts: dict | None = None) -> Iterator[dict]:
+    """The arrays of a file (a local path or an open file), and a row ``capped`` if the walk ended early.
+
+    ``facts`` receives the file's own attributes and how far the walk came.
+    """
     try:
         import h5py
     except ImportError:
         yield _row(asset, "skipped", "h5py is not installed")
         return
+    facts = {} if facts is None else facts
     try:
-        with h5py.File(path, "r") as h:
-            waiting, seen, n = deque([h]), 0, 0
-            while waiting:
-                group = waiting.popleft()
-                for _, item in sorted(group.items(), key=lambda kv: kv[0].lower() not in ("identification", "metadata")):
-                    if seen == most:
-                        yield _row(asset, "capped", f"the walk ended after {most} objects; the inventory is not complete")
-                        return
-                    seen += 1
-                    if hasattr(item, "shape"):
-                        attrs = [(k, str(v)) for k, v in list(item.attrs.items())[: fixed.MAX_ATTRS]]
-                        codec = "+".join(x for x in (item.compression, "shuffle" if item.shuffle else None) if x) or None
-                        yield _row(asset, "ok", ordinal=n, name=item.name, dims=[f"dim_{i}" for i in range(item.ndim)], shape=list(item.shape), dtype=str(item.dtype), chunks=list(item.chunks) if item.chunks else None, attrs=attrs, size_bytes=int(item.size * item.dtype.itemsize), codec=codec)
-                        n += 1
-                    else:
-                        waiting.append(item)
-    except Exception as e:  # an unreadable asset is a finding, not a failed job
-        yield _row(asset, "fail", f"{type(e).__name__}: {e}")
+        with h5py.File(source, "r") as h:
+            if isinstance(source, CountedFile):
+                if source.bytes <= 0:
+                    yield _row(asset, "fail", "the file was opened without a byte read; the measurement is wrong")
+                    return
+                facts |= {"cairn:requests_to_open": str(source.requests), "cairn:bytes_to_open": str(source.bytes)}
+            facts |= {k: decoded(v) for k, v in h.attrs.items()}
+            n = 0
+            for item, end in _walk(h, most, seconds):
+                if end is not None:
+                    facts |= {"cairn:objects_visited": str(item), "cairn:complete": str(end == "complete").lower()}
+                    if end != "complete":
+                        facts["cairn:capped_at"] = end
+                        yield _row(asset, "capped", f"the walk ended after {item} objects ({end}); the inventory is not complete")
+                elif hasattr(item, "shape"):
+                    attrs = [(k, decoded(v)) for k, v in list(item.attrs.items())[: fixed.MAX_ATTRS]]
+                    codec = "+".join(x for x in (item.compression, "shuffle" if item.shuffle else None) if x) or None
+                    yield _row(asset, "ok", ordinal=n, name=item.name, dims=[f"dim_{i}" for i in range(item.ndim)], shape=list(item.shape), dtype=str(item.dtype), chunks=list(item.chunks) if item.chunks else None, attrs=attrs, size_bytes=int(item.size * item.dtype.itemsize), codec=codec)
+                    n += 1
+    except Exception as e:
+        yield _failure(asset, e)
+
+
+def hdf5_asset(asset: str, path: str) -> Iterator[dict]:
+    """``hdf5_rows`` of a file opened through a counter, local or remote, then a row ``root`` unless it failed.
+
+    The attributes of ``root`` are the file's own; names with ``cairn:`` in front hold what opening and the walk took.
+    """
+    facts: dict[str, str] = {}
+    try:
+        file = opened(path, fixed.MAX_BYTES)
+    except Exception as e:
+        yield _failure(asset, e)
+        return
+    with file:
+        rows = list(hdf5_rows(asset, file, facts=facts))
+    yield from rows
+    if not any(r["status"] in ("fail", "skipped") for r in rows):
+        yield _row(asset, "root", attrs=list(facts.items()))
+
+
+def decoded(value) -> str:
+    """The text of an attribute: bytes as UTF-8, arrays of one value as that value."""
+    if isinstance(value, bytes):
+        return value.decode("utf-8", "replace")
+    if getattr(value, "size", 0) == 1 and hasattr(value, "reshape"):
+        return decoded(value.reshape(-1)[0])
+    return str(value.tolist() if hasattr(value, "tolist") else value)
 
 
 def refine_hdf5(path: str) -> tuple[str, str]:
@@ -75,6 +140,7 @@ def refine_hdf5(path: str) -> tuple[str, str]:
 
 
 def cog_rows(asset: str, path: str) -> Iterator[dict]:
+    """The bands of a raster and a row ``root`` with its reference system, overviews of band 1 and, with ``rio_cogeo``, validity."""
     try:
         import rasterio
     except ImportError:
@@ -82,13 +148,24 @@ def cog_rows(asset: str, path: str) -> Iterator[dict]:
         return
     try:
         with rasterio.open(path) as r:
+            codec = r.profile.get("compress")
             for i, dtype in enumerate(r.dtypes):
-                yield _row(asset, "ok", ordinal=i, name=f"band_{i + 1}", dims=["y", "x"], shape=[r.height, r.width], dtype=dtype, chunks=list(r.block_shapes[i]), attrs=[], codec=r.profile.get("compress"))
+                yield _row(asset, "ok", ordinal=i, name=f"/band_{i + 1}", dims=["dim_0", "dim_1"], shape=[r.height, r.width], dtype=str(dtype), chunks=list(r.block_shapes[i]), attrs=[], codec=str(codec) if codec else None)
+            facts = [("cairn:overviews", ",".join(str(x) for x in r.overviews(1)))]
+            if r.crs:
+                facts.append(("cairn:crs", str(r.crs)))
+        try:
+            from rio_cogeo.cogeo import cog_validate
+
+            facts.append(("cairn:cog_valid", str(bool(cog_validate(path, quiet=True)[0])).lower()))
+        except Exception as e:  # without the check its result stays null
+            facts.append(("cairn:cog_validate", f"skipped: {type(e).__name__}: {e}"))
+        yield _row(asset, "root", attrs=facts)
     except Exception as e:
-        yield _row(asset, "fail", f"{type(e).__name__}: {e}")
+        yield _failure(asset, e)
 
 
-READERS = {"hdf5": hdf5_rows, "netcdf4": hdf5_rows, "cog": cog_rows}
+READERS = {"hdf5": hdf5_asset, "netcdf4": hdf5_asset, "cog": cog_rows}
 
 
 def open_assets(assets: DataFrame) -> DataFrame:
@@ -103,3 +180,18 @@ def open_assets(assets: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return assets.select("asset_id", "path", F.col("format")).mapInArrow(run, SCHEMA)
+
+
+def asset_rows(rows: DataFrame) -> DataFrame:
+    """One row per asset of ``open_assets``: ``smoke_status`` and the facts of its row ``root``."""
+    one = rows.groupBy("asset_id").agg(
+        F.when(F.bool_or(F.col("status") == "fail"), "fail").when(F.bool_or(F.col("status").isin("ok", "root")), "pass").otherwise("skipped").alias("smoke_status"),
+        F.max_by("attrs", F.when(F.col("status") == "root", 1)).alias("attrs"), F.max_by("reason", F.when(F.col("status").isin("fail", "skipped", "capped"), 1)).alias("reason"),
+    )
+    fact = lambda name: F.try_element_at("attrs", F.lit(f"cairn:{name}"))
+    overviews = F.when(fact("overviews").isNotNull(), F.transform(F.filter(F.split(fact("overviews"), ","), lambda x: x != ""), lambda x: x.cast("int")))
+    return one.select(
+        "asset_id", "smoke_status", "reason", F.map_filter("attrs", lambda k, _: ~k.startswith("cairn:")).alias("global_attrs"),
+        fact("requests_to_open").cast("bigint").alias("requests_to_open"), fact("bytes_to_open").cast("bigint").alias("bytes_to_open"), fact("crs").alias("crs"), fact("cog_valid").cast("boolean").alias("cog_valid"),
+        overviews.alias("overviews"), fact("objects_visited").cast("bigint").alias("objects_visited"), fact("complete").cast("boolean").alias("complete"), fact("capped_at").alias("capped_at"),
+    )

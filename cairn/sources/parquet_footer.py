@@ -8,6 +8,7 @@ file, row group and leaf column. Paths may be globs or folders; a folder named
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +56,10 @@ class FooterReader(DataSourceReader):
 
 
 def _filesystem(path: str):
+    """Arrow's filesystem and inner path, also for the forms that Spark's listings use (``file:/x``, ``s3a://x``)."""
     from pyarrow import fs
 
+    path = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path))
     if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), os.path.abspath(path)

@@ -97,3 +97,12 @@ def root_attributes(documents: DataFrame) -> DataFrame:
     order = F.when(F.col("key") == "zarr.json", 0).when(F.col("key") == ".zmetadata", 1).otherwise(2)
     rows = documents.select("asset_id", order.alias("o"), F.from_json(text, "map<string,string>").alias("m")).filter("m IS NOT NULL")
     return rows.groupBy("asset_id").agg(F.min_by("m", "o").alias("global_attrs"))
+
+
+def open_cost(documents: DataFrame) -> DataFrame:
+    """(``asset_id``, ``requests_to_open``, ``bytes_to_open``): one document if the metadata are consolidated, else all of them."""
+    merged = F.get_json_object("document", "$.consolidated_metadata.metadata")
+    whole = (F.col("key") == ".zmetadata") | ((F.col("key") == "zarr.json") & merged.isNotNull())
+    size = F.octet_length("document").cast("bigint")
+    rows = documents.groupBy("asset_id").agg(F.max(F.when(whole, size)).alias("one"), F.count("*").alias("n"), F.sum(size).alias("every"))
+    return rows.select("asset_id", F.when(F.col("one").isNotNull(), 1).otherwise(F.col("n")).cast("bigint").alias("requests_to_open"), F.coalesce("one", "every").alias("bytes_to_open"))
