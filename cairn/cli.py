@@ -186,6 +186,7 @@ def run(args: argparse.Namespace) -> int:
     took["assessments"] = time.monotonic() - began
     broken = breaches(assets, took, args)
     names = found.selected.groupBy("asset_id").agg(F.array_sort(F.collect_set("name")).alias("variables_assessed"))
+    names = assets.select("asset_id").join(names, "asset_id", "left").withColumn("variables_assessed", F.coalesce("variables_assessed", F.array().cast("array<string>")))
     frame = F.struct(F.lit(row["input"]).alias("input"), F.lit(fmt).alias("format"), "variables_assessed", F.lit(args.byte_cap).alias("byte_cap_mb"), F.lit(args.time_cap).alias("time_cap_s"))
     frames = names.select("asset_id", frame.alias("sample_frame"))
     smoke = assets.select("asset_id", F.col("smoke_status").alias("status"), "requests_to_open", "bytes_to_open", *[F.lit(None).cast("double").alias(c) for c in ("time_to_open_s", "ttfb_s", "throughput_mbps")], F.lit(None).cast("bigint").alias("total_bytes"), F.lit(None).cast("string").alias("reason"))

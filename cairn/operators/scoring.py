@@ -252,15 +252,15 @@ def checks(fact_rows: DataFrame) -> DataFrame:
     """21 rows per asset in order (``seq``); every failed or partial check has a remedy.
 
     Statuses and points are columns of their own before the rows are built, so that what
-    refers to them is not expanded again and the generated code stays small.
+    refers to them is not expanded again and the generated code stays small. Points are rounded
+    once the rows are there, but for those that a status follows from.
     """
     by_points = ("A-class", "B4-catalog")  # their status follows from their points
     built = [class_check(), *locality_checks(), *chunk_checks(), *access_checks(), *reproducibility_checks()]
-    points = lambda c: geometry.half_even(c.awarded, 1)
-    rows = fact_rows.withColumns({f"p_{c.cid}": points(c) for c in built if c.cid in by_points})
+    rows = fact_rows.withColumns({f"p_{c.cid}": geometry.half_even(c.awarded, 1) for c in built if c.cid in by_points})
     rows = rows.withColumns({f"s_{c.cid}": c.status.cast("string") for c in built if c.cid != "C3-agentic"})
     rows = rows.withColumns({f"s_{c.cid}": c.status.cast("string") for c in built if c.cid == "C3-agentic"})
-    rows = rows.withColumns({f"p_{c.cid}": points(c) for c in built if c.cid not in by_points})
+    rows = rows.withColumns({f"p_{c.cid}": c.awarded.cast("double") for c in built if c.cid not in by_points})
     rows = rows.withColumns({f"e_{c.cid}": c.evidence.cast("string") for c in built} | {f"r_{c.cid}": (F.lit(None) if c.remedy is None else c.remedy).cast("string") for c in built})
     listed = [
         F.struct(
@@ -270,6 +270,7 @@ def checks(fact_rows: DataFrame) -> DataFrame:
         for c in built
     ]
     rows = rows.select("asset_id", "format", "smoke_status", F.posexplode(F.array(*listed)).alias("seq", "c")).select("asset_id", "format", "smoke_status", "seq", "c.*")
+    rows = rows.withColumn("points_awarded", geometry.half_even(F.col("points_awarded"), 1))
     lookup = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
     missing = F.col("status").isin("fail", "partial") & (F.coalesce("remediation", F.lit("")) == "")
     filled = F.coalesce(F.when(F.col("id") == "A-class", lookup(MIGRATIONS, F.col("format"))), lookup(D_REMEDIES, F.col("id")), F.lit(GENERIC_REMEDY))
@@ -294,13 +295,14 @@ def score(check_rows: DataFrame) -> DataFrame:
     for d, w, _ in fixed.DIMENSIONS:
         own = (F.col("dimension") == d) & (F.col("status") != "n/a")
         got, possible = F.sum(F.when(own, F.col("points_awarded"))), F.sum(F.when(own, F.col("points_possible")))
-        scaled.append(F.coalesce(F.try_divide(got, possible) * F.lit(float(w)), F.lit(0.0)).alias(f"dim_{d.lower()}"))
+        scaled.append(F.coalesce(F.try_divide(got, possible) * F.lit(float(w)), F.lit(0.0)))
     blocking = F.col("id").isin(*fixed.CONSUMER_VISIBLE) & (F.col("status") == "fail")
     one = check_rows.groupBy("asset_id").agg(
-        *scaled, F.first("smoke_status").alias("smoke"), F.count_if(F.col("status") == "skipped").alias("n_skipped"), F.count_if(F.col("status").isin("partial", "fail")).alias("n_gaps"),
+        F.array(*scaled).alias("scaled"), F.first("smoke_status").alias("smoke"), F.count_if(F.col("status") == "skipped").alias("n_skipped"), F.count_if(F.col("status").isin("partial", "fail")).alias("n_gaps"),
         F.transform(F.array_sort(F.collect_list(F.when(blocking, F.struct("seq", "id")))), lambda x: x["id"]).alias("blocking"),
     )
-    one = one.withColumns({f"dim_{d.lower()}": geometry.half_even(F.col(f"dim_{d.lower()}"), 1) for d, _, _ in fixed.DIMENSIONS})
+    one = one.withColumn("scaled", F.transform("scaled", lambda x: geometry.half_even(x, 1)))
+    one = one.withColumns({f"dim_{d.lower()}": F.col("scaled")[i] for i, (d, _, _) in enumerate(fixed.DIMENSIONS)})
     raw = geometry.half_even(reduce(lambda a, b: a + b, [F.col(f"dim_{d.lower()}") for d, _, _ in fixed.DIMENSIONS]), 1)
     smoke, blocked = F.coalesce(F.col("smoke") == "fail", F.lit(False)), F.size("blocking") > 0
     one = one.withColumn("raw_score", raw).withColumn("score", F.when((smoke | blocked) & (F.col("raw_score") > fixed.CAP), fixed.CAP).otherwise(F.col("raw_score")))

@@ -116,8 +116,9 @@ def decoded(value) -> str:
     """The text of an attribute: bytes as UTF-8, arrays of one value as that value."""
     if isinstance(value, bytes):
         return value.decode("utf-8", "replace")
-    if getattr(value, "size", 0) == 1 and hasattr(value, "reshape"):
-        return decoded(value.reshape(-1)[0])
+    if getattr(value, "size", 0) == 1 and hasattr(value, "item"):
+        value = value.item()
+        return decoded(value) if isinstance(value, bytes) else str(value)
     return str(value.tolist() if hasattr(value, "tolist") else value)
 
 

@@ -1,9 +1,11 @@
 """Readers, the command line and streaming."""
 
+import gzip
 import json
 import os
 import sys
 import types
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from cairn import cli
 from cairn.functions import fixed, formats, geometry
 from cairn.operators import sampling, scoring
-from cairn.sources import heads, optional, parquet_footer, store_layout
+from cairn.sources import counting, heads, optional, parquet_footer, store_layout, zarr_chunks
 from cairn.streaming import telemetry as streaming
 
 
@@ -208,3 +210,129 @@ def test_scores_round_to_even(spark):
     weight = {d: w for d, w, _ in fixed.DIMENSIONS}["B"]
     got = {r.dimension: r.score for r in scoring.dimension_scores(frame).collect()}
     assert got["B"] == round(9 / 16 * weight, 1) and scoring.score(frame).first()["dim_b"] == got["B"]
+
+
+class Tree:
+    """A stand-in for a file of the absent library: groups hold items, arrays have a shape; opening reads four bytes."""
+
+    def __init__(self, name="/", items=None, attrs=None):
+        self.name, self.held, self.attrs = name, items, attrs or {}
+        if items is None:
+            self.shape, self.dtype, self.ndim, self.size, self.chunks, self.compression, self.shuffle = (4, 2), np.dtype("f4"), 2, 8, (2, 2), "gzip", True
+
+    def items(self):
+        return self.held.items()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+def as_frame(spark, rows):
+    return spark.createDataFrame([{**r, "attrs": None if r["attrs"] is None else dict(r["attrs"])} for r in rows], optional.SCHEMA)
+
+
+def fake_h5py(monkeypatch, tree, reads=4):
+    def opened(file, mode):
+        if reads:
+            file.read(reads)
+        return tree
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=opened))
+
+
+def test_hdf5_walk_and_its_facts(spark, monkeypatch, tmp_path):
+    path = str(tmp_path / "a.h5")
+    (tmp_path / "a.h5").write_bytes(b"12345678")
+    deep = Tree("/Metadata", {"sub": Tree("/Metadata/sub", {"m": Tree("/Metadata/sub/m")})})
+    tree = Tree("/", {"x": Tree("/x"), "Metadata": deep}, {"Conventions": b"CF-1.8", "one": np.array([2.5])})
+    fake_h5py(monkeypatch, tree)
+    rows = list(optional.hdf5_asset("a", path))
+    assert [(r["status"], r["name"]) for r in rows] == [("ok", "/Metadata/sub/m"), ("ok", "/x"), ("root", None)]
+    facts = dict(rows[-1]["attrs"])
+    assert facts == {"Conventions": "CF-1.8", "one": "2.5", "cairn:requests_to_open": "1", "cairn:bytes_to_open": "4", "cairn:objects_visited": "4", "cairn:complete": "true"}
+    got = optional.asset_rows(as_frame(spark, rows)).first()
+    assert (got.smoke_status, got.global_attrs, got.requests_to_open, got.bytes_to_open, got.complete) == ("pass", {"Conventions": "CF-1.8", "one": "2.5"}, 1, 4, True)
+    many = Tree("/", {f"v{i}": Tree(f"/v{i}") for i in range(60)})
+    fake_h5py(monkeypatch, many)
+    with counting.opened(path) as file:
+        late = list(optional.hdf5_rows("a", file, seconds=-1.0))
+    assert len(late) == 26 and late[-1]["status"] == "capped" and "time" in late[-1]["reason"]
+    fake_h5py(monkeypatch, tree, reads=0)
+    assert [r["status"] for r in optional.hdf5_asset("a", path)] == ["fail"]
+    assert [r["status"] for r in optional.hdf5_asset("a", str(tmp_path / "absent.h5"))] == ["fail"]
+
+    def refused(file, mode):
+        raise OSError("AWS Error ACCESS_DENIED: 403 Forbidden")
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=refused))
+    assert [r["status"] for r in optional.hdf5_asset("a", path)] == ["skipped"]
+
+
+def test_raster_facts(spark, monkeypatch):
+    raster = types.SimpleNamespace(dtypes=["uint8"], height=20, width=30, block_shapes=[(8, 8)], profile={"compress": "deflate"}, crs="EPSG:4326", overviews=lambda _: [2, 4])
+
+    class Opened:
+        def __enter__(self):
+            return raster
+
+        def __exit__(self, *_):
+            return False
+
+    monkeypatch.setitem(sys.modules, "rasterio", types.SimpleNamespace(open=lambda _: Opened()))
+    got = optional.asset_rows(as_frame(spark, optional.cog_rows("a", "x"))).first()
+    assert (got.crs, got.overviews, got.smoke_status, got.cog_valid) == ("EPSG:4326", [2, 4], "pass", None)
+    raster.overviews, raster.crs = lambda _: [], None
+    got = optional.asset_rows(as_frame(spark, optional.cog_rows("a", "x"))).first()
+    assert (got.crs, got.overviews) == (None, [])
+
+
+def test_counted_reads(tmp_path):
+    (tmp_path / "f").write_bytes(b"0123456789")
+    with counting.opened(str(tmp_path / "f"), cap=8) as file:
+        assert file.read(3) == b"012" and file.seek(2) == 2 and file.read(5) == b"23456" and (file.requests, file.bytes) == (2, 8)
+        with pytest.raises(counting.CapPassed):
+            file.read(1)
+    assert counting.is_auth_error(OSError("HTTP 401")) and not counting.is_auth_error(OSError("no such file"))
+
+
+@pytest.mark.parametrize("codec, pack", [
+    (None, bytes), ('{"id":"zlib","level":1}', zlib.compress), ("gzip({\"level\":5})", gzip.compress),
+    ('zstd({"level":3,"checksum":false})', lambda b: pa.Codec("zstd").compress(b, asbytes=True)), ('{"id":"lz4"}', lambda b: len(b).to_bytes(4, "little") + pa.Codec("lz4_raw").compress(b, asbytes=True)),
+])
+def test_chunks_are_decoded(codec, pack):
+    cells = np.arange(12, dtype=">f4").reshape(3, 4)
+    got = zarr_chunks.decode(pack(cells.tobytes()), codec, ">f4", [3, 4], [1, 0], [5, 4])
+    assert (got == cells[:2]).all()  # the last chunk ends with the array
+    with pytest.raises(ValueError):
+        zarr_chunks.decode(b"", '{"id":"blosc","cname":"lz4"}', "<f4", [1], [0], [1])
+
+
+def test_command_line_runs_trials_and_access(spark, tmp_path, capsys):
+    assert cli.main([]) == 5
+    probes, records = str(tmp_path / "probes"), str(tmp_path / "records")
+    root = tmp_path / "s.zarr"
+    (root / "tas" / "c" / "0").mkdir(parents=True)
+    cells = np.random.default_rng(0).normal(size=(200, 200)).astype("<f4")
+    (root / "tas" / "c" / "0" / "0").write_bytes(pa.Codec("zstd").compress(cells.tobytes(), asbytes=True))
+    (root / "zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {"Conventions": "CF-1.8"}}))
+    array = {"node_type": "array", "shape": [200, 200], "data_type": "float32", "dimension_names": ["y", "x"], "chunk_grid": {"configuration": {"chunk_shape": [200, 200]}}, "codecs": [{"name": "bytes"}, {"name": "zstd", "configuration": {"level": 3}}], "attributes": {}}
+    (root / "tas" / "zarr.json").write_text(json.dumps(array))
+    record = {"RelatedUrls": [{"URL": str(root), "Type": "GET DATA"}], "License": "CC0"}
+    spark.createDataFrame([("G123-ABC", json.dumps(record))], "asset_id string, record string").write.parquet(records)
+    probe = [("G123-ABC", 1, "range-get", 206, None, "e1", 0.1)]
+    spark.createDataFrame(probe, "asset_id string, seq long, stage string, status_code int, error string, etag string, seconds double").write.parquet(probes)
+    out = str(tmp_path / "out")
+    assert cli.main(["--granule-id", "G123-ABC", "--records", records, "--probes", probes, "--benchmark", "--bitround-max-abs-error", "0.01", "--byte-cap", "0.0001", "--json", "--out", out]) == 0
+    document = json.loads([x for x in capsys.readouterr().out.splitlines() if x.startswith("{")][-1])
+    status = {c["id"]: c["status"] for c in document["checks"]}
+    assert status["D1-range"] == "pass" and document["geozarr_status"] in ("pass", "warn")
+    assert document["sample_frame"]["variables_assessed"] == ["/tas"] and document["budget_breaches"][0]["stage"] == "open"
+    assert any(t["config"].startswith("bitround") for t in document["codec_trials"]) and all("error" not in t for t in document["codec_trials"])
+    report = "".join(open(os.path.join(d, f)).read() for d, _, files in os.walk(f"{out}/reports") for f in files if f.endswith(".txt"))
+    assert "(current)" in report and "byte cap 104 passed" in report
+    denied = [("G123-ABC", 1, "head", 403, "AccessDenied", None, 0.1)]
+    spark.createDataFrame(denied, "asset_id string, seq long, stage string, status_code int, error string, etag string, seconds double").write.mode("overwrite").parquet(probes)
+    assert cli.main(["--granule-id", "G123-ABC", "--records", records, "--probes", probes]) == 2
