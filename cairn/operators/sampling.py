@@ -8,33 +8,52 @@ from pyspark.sql import functions as F
 from ..functions import fixed, geometry
 
 
+def _nearest(grid: Column, most: int) -> Column:
+    """The ``most`` cells of a grid nearest to its centre as (``shell``, ``far``, ``idx``), in order."""
+    zero = F.lit(0).cast("bigint")
+
+    def radius(centre: Column) -> Column:
+        def box(r: Column) -> Column:
+            spans = F.zip_with(centre, grid, lambda c, g: F.least(g - 1, c + r) - F.greatest(zero, c - r) + 1)
+            return geometry.product(F.transform(spans, lambda s: F.least(s, F.lit(most))))
+
+        widest = F.array_max(grid)
+        found = F.aggregate(F.sequence(F.lit(0), F.lit(most)), F.lit(-1), lambda found, r: F.when(found >= 0, found).when((box(r) >= most) | (r >= widest), r).otherwise(found))
+        return geometry.let(found, lambda r: F.when(r < 0, most).otherwise(r))
+
+    def cells(centre: Column, r: Column) -> Column:
+        ranges = F.zip_with(centre, grid, lambda c, g: F.sequence(F.greatest(zero, c - r), F.least(g - 1, c + r)))
+        empty = F.array(F.array().cast("array<bigint>"))
+        return F.aggregate(ranges, empty, lambda acc, axis: F.flatten(F.transform(acc, lambda p: F.transform(axis, lambda x: F.concat(p, F.array(x))))))
+
+    def placed(centre: Column, idx: Column) -> Column:
+        far = lambda gaps: F.aggregate(gaps, zero, lambda a, g: a + g * g)
+        return geometry.let(F.zip_with(idx, centre, lambda x, c: F.abs(x - c)), lambda gaps: F.struct(F.array_max(gaps).alias("shell"), far(gaps).alias("far"), idx.alias("idx")))
+
+    def sorted_cells(centre: Column) -> Column:
+        return geometry.let(radius(centre), lambda r: F.slice(F.array_sort(F.transform(cells(centre, r), lambda idx: placed(centre, idx))), 1, most))
+
+    return geometry.let(F.transform(grid, lambda g: F.floor(g / 2).cast("bigint")), sorted_cells)
+
+
 def interior_chunks(variables: DataFrame, most: int = fixed.INTERIOR_CANDIDATES) -> DataFrame:
     """(``asset_id``, ``name``, ``rank``, ``idx``): the grid cells nearest to the centre of each array.
 
     Order: Chebyshev shell, squared distance, index. Only as many shells are generated as
     hold ``most`` cells: in a shell of radius r an axis has at most 2r + 1 places, so a box
-    of at least ``most`` cells holds the nearest ones, whatever the size of the grid.
+    of at least ``most`` cells holds the nearest ones, whatever the size of the grid. Cells are
+    ordered within the row of their variable; only its grid is moved. Rows that repeat a variable
+    are ranked as one.
     """
+    key = ["asset_id", "name", "ordinal"]
     grid = geometry.chunk_grid(F.col("shape"), F.col("chunks"))
-    cells = variables.filter((F.size("shape") > 0) & (F.size("chunks") > 0)).select("asset_id", "name", "ordinal", grid.alias("grid"))
+    cells = variables.filter((F.size("shape") > 0) & (F.size("chunks") > 0)).select(*key, grid.alias("grid"))
     cells = cells.filter(F.forall("grid", lambda g: g.isNotNull() & (g > 0)))
-    sized = cells.withColumn("centre", F.transform("grid", lambda g: F.floor(g / 2).cast("bigint")))
-
-    def box(radius: Column) -> Column:
-        spans = F.zip_with("centre", "grid", lambda c, g: F.least(g - 1, c + radius) - F.greatest(F.lit(0).cast("bigint"), c - radius) + 1)
-        return geometry.product(F.transform(spans, lambda s: F.least(s, F.lit(most))))
-
-    widest = F.array_max("grid")
-    radius = F.aggregate(F.sequence(F.lit(0), F.lit(most)), F.lit(-1), lambda found, r: F.when(found >= 0, found).when((box(r) >= most) | (r >= widest), r).otherwise(found))
-    sized = sized.withColumn("radius", F.when(radius < 0, most).otherwise(radius))
-    ranges = F.zip_with("centre", "grid", lambda c, g: F.sequence(F.greatest(F.lit(0).cast("bigint"), c - F.col("radius")), F.least(g - 1, c + F.col("radius"))))
-    empty = F.array(F.array().cast("array<bigint>"))
-    grown = F.aggregate(ranges, empty, lambda acc, axis: F.flatten(F.transform(acc, lambda p: F.transform(axis, lambda x: F.concat(p, F.array(x))))))
-    points = sized.select("asset_id", "name", "ordinal", "centre", F.explode(grown).alias("idx"))
-    gaps = F.zip_with("idx", "centre", lambda x, c: F.abs(x - c))
-    points = points.withColumn("shell", F.array_max(gaps)).withColumn("far", F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, g: a + g * g))
-    order = Window.partitionBy("asset_id", "name", "ordinal").orderBy("shell", "far", "idx")
-    return points.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("asset_id", "name", "ordinal", "rank", "idx")
+    grids = cells.repartition(*key).groupBy(*key, "grid").agg(F.least(F.count("*"), F.lit(most)).cast("int").alias("n"))
+    boxes = grids.groupBy(*key).agg(F.collect_list(F.struct("grid", "n")).alias("boxes"))
+    near = F.flatten(F.transform("boxes", lambda b: F.flatten(F.transform(_nearest(b["grid"], most), lambda cell: F.array_repeat(cell, b["n"])))))
+    ranked = boxes.select(*key, F.posexplode(F.slice(F.array_sort(near), 1, most)).alias("at", "cell"))
+    return ranked.select(*key, (F.col("at") + 1).alias("rank"), F.col("cell.idx").alias("idx"))
 
 
 def scan_interior(candidates: DataFrame, stored: DataFrame, most: int = fixed.INTERIOR_SAMPLES, byte_cap: int | None = fixed.MAX_BYTES) -> DataFrame:
@@ -42,27 +61,30 @@ def scan_interior(candidates: DataFrame, stored: DataFrame, most: int = fixed.IN
 
     The walk skips cells that are not stored, stops once the bytes read exceed the cap, and
     ends at the ``most``-th chunk that bears data. ``sizes``, ``measured``, ``data_bearing``
-    and ``note`` tell the outcome.
+    and ``note`` tell the outcome. Both sides are sorted and merged: Spark estimates exploded
+    candidates by the size of the file they came from, and would broadcast them all.
     """
     key = ["asset_id", "name"]
-    met = candidates.join(stored, [*key, "idx"]).withColumn("bears", geometry.data_bearing(F.col("values"), F.col("fill") if "fill" in stored.columns else None))
+    bears = geometry.data_bearing(F.col("values"), F.col("fill") if "fill" in stored.columns else None)
+    sized = stored.select(*key, "idx", "size_bytes", bears.alias("bears"), F.lit(True).alias("met"))
+    met = candidates.select(*key, "idx", "rank").join(sized.hint("merge"), [*key, "idx"], "left")
     walk = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     walked = met.withColumn("read", F.sum("size_bytes").over(walk)).withColumn("within", F.lit(True) if byte_cap is None else F.col("read") <= byte_cap)
     walked = walked.withColumn("hits", F.sum((F.col("bears") & F.col("within")).cast("int")).over(walk))
     before = F.col("hits") - (F.col("bears") & F.col("within")).cast("int")
-    seen = walked.filter(before < most)
-    listed = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("rank", "size_bytes")))), lambda x: x["size_bytes"])
+    seen = walked.withColumn("seen", F.coalesce(F.col("met") & (before < most), F.lit(False)))
+    listed = lambda test: F.transform(F.array_sort(F.collect_list(F.when(F.col("seen") & test, F.struct("rank", "size_bytes")))), lambda x: x["size_bytes"])
     found = seen.groupBy(*key).agg(
-        listed(F.col("within") & F.col("bears") & (F.col("size_bytes") > 0)).alias("good"), listed(F.col("within") & (F.col("size_bytes") > 0)).alias("every"), F.max(~F.col("within")).alias("capped")
+        listed(F.col("within") & F.col("bears") & (F.col("size_bytes") > 0)).alias("good"), listed(F.col("within") & (F.col("size_bytes") > 0)).alias("every"),
+        F.coalesce(F.max(F.when(F.col("seen"), ~F.col("within"))), F.lit(False)).alias("capped"), F.max("seen").alias("any"),
     )
-    all_rows = candidates.select(*key).distinct().join(found, key, "left")
-    capped, good = F.coalesce("capped", F.lit(False)), F.coalesce(F.size("good"), F.lit(0)) > 0
-    sizes = F.when(good, F.col("good")).otherwise(F.coalesce(F.slice("every", 1, most), F.array().cast("array<bigint>")))
-    return all_rows.select(
+    capped, good = F.col("capped"), F.size("good") > 0
+    sizes = F.when(good, F.col("good")).otherwise(F.slice("every", 1, most))
+    return found.select(
         *key, sizes.alias("sizes"), (F.size(sizes) > 0).alias("measured"),
-        F.when(good, True).when(F.col("every").isNull() | (capped & (F.size(sizes) == 0)), F.lit(None)).otherwise(False).alias("data_bearing"),
+        F.when(good, True).when(~F.col("any") | (capped & (F.size(sizes) == 0)), F.lit(None)).otherwise(False).alias("data_bearing"),
         F.when(capped, "stopped at the byte cap; the sizes measured before it are given")
-        .when(F.col("every").isNull(), "no stored chunk near the centre").when(~good, "all sampled chunks hold fill values").alias("note"),
+        .when(~F.col("any"), "no stored chunk near the centre").when(~good, "all sampled chunks hold fill values").alias("note"),
     )
 
 

@@ -314,3 +314,21 @@ def test_report_with_every_part(spark):
     text = rendering.render(found.scores, found.checks, assets, found.assessed, found.inspected, compression.benchmark(samples), breaches, smoke, frame, "training").first().report
     for part in ("| skipped | 2 | 4096 | 0.2 s | 0.1 s | 42.3 MB/s", "Reason: no network", "byte cap\\|passed", "**current (gzip) (current)**", '```json\n{"n": 8}\n```', "**training**", "No check failed"):
         assert part in text, part
+
+
+def test_interior_walk_never_broadcasts_cells(spark):
+    from cairn.plans import catalogue
+
+    tree = catalogue.budget_capped_sample(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in tree and "SortMergeJoin" in tree
+    for branch in tree.split("Generate posexplode")[1:]:  # below the cells are the grids of variables, moved once
+        assert branch.split("Generate posexplode")[0].count("Exchange hashpartitioning(asset_id") >= 1
+    assert tree.count("Window [row_number") == 0
+
+
+def test_interior_chunks_of_repeated_rows_are_ranked_as_one(spark):
+    rows = [("a", 0, "v", [3, 3], [1, 1])] * 2 + [("a", 0, "v", [5], [1]), (None, 1, "w", [1], [1])]
+    frame = spark.createDataFrame(rows, f"asset_id string, ordinal long, name string, shape {L}, chunks {L}")
+    got = [(r.rank, r.idx) for r in sampling.interior_chunks(frame, 5).filter("ordinal = 0").orderBy("rank").collect()]
+    assert got == [(1, [1, 1]), (2, [1, 1]), (3, [2]), (4, [0, 1]), (5, [0, 1])]
+    assert [(r.asset_id, r.rank, r.idx) for r in sampling.interior_chunks(frame, 5).filter("ordinal = 1").collect()] == [(None, 1, [0])]
